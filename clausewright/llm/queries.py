@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm.encoding import repair_encoding
+from clausewright.llm.scans import repair_scans, scan_findings
 from clausewright.llm.splitting import split_oversized
 from clausewright.session import table
 
@@ -34,6 +35,21 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(e, "text", ["row_id"], with_text=False).where("piece > 0").select("row_id").distinct()
 
 
+_P3 = [("requirements", "source_quote"), ("requirements", "requirement_text"), ("product_manual_evidence", "text")]
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with scanning damage, repaired."""
+    return repair_scans(_fields(spark, sf_dir, _P3), "text", _KEYS)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with scanning damage."""
+    found = scan_findings(_fields(spark, sf_dir, _P3), "text", _KEYS)
+    f, s, m = (found[k].select(*_KEYS) for k in ("furniture", "splits", "misread"))
+    return f.unionByName(s).unionByName(m).distinct()
+
+
 _P5 = [("requirements", "source_quote"), ("product_manual_evidence", "text")]
 
 
