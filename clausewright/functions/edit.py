@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 # Groups of characters and letter pairs that scanned text confuses.
-ALIKE = ["1lI|!i", "0oOQ", "ce", "tf", "5sS", "6b", "8B", "9gq", "2zZ", "hb", "@a", "uv", "nu", "mn"]
+ALIKE = ["1lI|!i", "0oOQq", "ce", "tf", "5sS", "6b", "8B", "9gq", "2zZ", "hb", "@a", "uv", "nu", "mn"]
 PAIRS = {"rn": "m", "ri": "n", "ii": "u", "cl": "d", "vv": "w", "fi": "ﬁ", "fl": "ﬂ", "ni": "m", "in": "m"}
 
 _CHEAP = {(a, b) for g in ALIKE for a in g for b in g if a != b}

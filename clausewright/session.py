@@ -72,3 +72,20 @@ def norm_key(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     k = F.lower(F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", ""))
     return F.when(k != "", k)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_clausewright_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="clausewright-")) / "clausewright_pkg.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._clausewright_shipped = True
