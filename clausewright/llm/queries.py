@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm.encoding import repair_encoding
+from clausewright.llm.residue import fit_residue, score_residue
 from clausewright.llm.scans import repair_scans, scan_findings
 from clausewright.llm.splitting import split_oversized
 from clausewright.session import table
@@ -63,6 +64,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_encoding(_fields(spark, sf_dir, _P5), "text", _KEYS).select(*_KEYS).distinct()
 
 
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return score_residue(d, "text", ["doc_id"], fit_residue(d, "text"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with residue of templates or failed page loads."""
+    return _residue(spark, sf_dir).select("doc_id").distinct()
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without them."""
+    return table(spark, sf_dir, "documents").distinct().join(p10_found(spark, sf_dir), "doc_id", "left_anti")
+
+
 def queries() -> dict:
     """All queries of this subpackage."""
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
