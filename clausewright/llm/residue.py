@@ -36,7 +36,7 @@ SEEDS = [
     r"\{\{.*?\}\}", r"\$\{\w+\}", r"@@\w+@@", r"<<\w+>>", r"(?<!\w)%[a-z]\w+%(?!\w)", r"\[(?:INSERT|ENTER|YOUR|ADD)\b[^\]]*\]", r"<(?:enter|insert|your|add) [^>]*>", r"\[[^\]]* goes here\]", r"(?<![\w}])\{\w+\}(?![\w{])",
     r"(?i)lorem ipsum", r"(?i)\b(?:asdf|qwer|qwertz|yxcv|xxxx)\b", r"(?i)your text here", r"(?i)click here to add", r"(?i)\bdummy (?:text|paragraph|wording)\b",
     r"(?i)^(?:http )?(?:error|fehler|erreur)(?: code)? \d{3}\b", r"(?i)\b(?:404|403|410|500|502|503)\b.*(?:not found|forbidden|gone|internal|unavailable)", r"(?i)^(?:page|file|document) not found", r"(?i)^oops\b", r"(?i)^access (?:denied|forbidden)", r"(?i)\bsomething went wrong\b", r"(?i)^too many requests",
-    r"(?i)(?:enable|turn on|switch on|activate|aktivieren|activez|active) (?:sie )?java-?script", r"(?i)^noscript\b", r"(?i)^(?:unhandled|uncaught) exception",
+    r"(?i)(?:enable|turn on|switch on|activate|aktivieren|activez|active) (?:sie )?java-?script", r"(?i)activation de java-?script", r"(?i)^type (?:the|your|a) .*(?:here|box)\.?$", r"(?i)^noscript\b", r"(?i)^(?:unhandled|uncaught) exception",
 ]
 _SEED = "|".join(f"(?:{s.replace('(?i)', '')})" if not s.startswith("(?i)") else f"(?i:{s[4:]})" for s in SEEDS)
 PASSAGE = r"\s*\n+\s*|(?<=[.!?]) +"

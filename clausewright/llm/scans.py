@@ -298,9 +298,12 @@ def _furniture_lines(texts: list[str], model: BoostedTrees) -> list[list[int]]:
 
 
 def furniture_model(df: DataFrame, text: str, sample_rows: int = 3000) -> BoostedTrees:
-    """Fitted on at most sample_rows rows, chosen by the hash of the text."""
-    t = df.select(F.col(text).alias("t")).where(F.char_length("t") > 0).orderBy(F.xxhash64("t"), "t").limit(sample_rows)
-    return _furniture_model([r["t"] for r in t.collect()])
+    """Fitted on at most sample_rows rows, chosen by the hash of the text, in expectation as many of each part of the data."""
+    t = df.select(F.col(text).alias("t")).where(F.char_length("t") > 0)
+    share = min(1.0, sample_rows / max(1, t.count()))
+    chosen = t.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+    texts = sorted(r["t"] for r in chosen.limit(2 * sample_rows).collect())
+    return _furniture_model(texts[:sample_rows])
 
 
 def furniture(df: DataFrame, text: str, keys: list[str], model: BoostedTrees) -> DataFrame:
