@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.llm.encoding import repair_encoding
+from clausewright.llm import neardup
 from clausewright.llm.residue import fit_residue, score_residue
 from clausewright.llm.scans import repair_scans, scan_findings
 from clausewright.llm.splitting import split_oversized
@@ -64,6 +65,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_encoding(_fields(spark, sf_dir, _P5), "text", _KEYS).select(*_KEYS).distinct()
 
 
+_P6 = ["requirement_text", "source_quote"]
+_P6_SIMILAR = {"threshold": 0.5, "width": 3}
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of similar requirements."""
+    docs, members = neardup.contents(table(spark, sf_dir, "requirements"), "id", _P6)
+    pairs = neardup.similar_contents(docs, _P6, **_P6_SIMILAR)
+    return neardup.expand_members(pairs, members, "id", neardup.with_shingles(docs, _P6, 3))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per requirement with the class of its near-duplicates and its number of similar contents."""
+    docs, members = neardup.contents(table(spark, sf_dir, "requirements"), "id", _P6)
+    pairs = neardup.similar_contents(docs, _P6, **_P6_SIMILAR)
+    return members.join(neardup.groups(pairs, docs), "rid").select("id", "class_id", "links")
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return score_residue(d, "text", ["doc_id"], fit_residue(d, "text"))
