@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from clausewright.llm.encoding import repair_encoding
 from clausewright.llm import neardup
+from clausewright.llm.mixing import mix
+from clausewright.llm.packing import pack
 from clausewright.llm.residue import fit_residue, score_residue
 from clausewright.llm.scans import repair_scans, scan_findings
 from clausewright.llm.splitting import split_oversized
-from clausewright.session import table
+from clausewright.llm.tokens import count_tokens
+from clausewright.session import cut, table
 
 
 def _fields(spark: SparkSession, sf_dir: str, fields: list[tuple[str, str]]) -> DataFrame:
@@ -83,6 +86,37 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(neardup.groups(pairs, docs), "rid").select("id", "class_id", "links")
 
 
+CAPACITY = 2048
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, source, digest, tokens) of the documents."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["id"])
+    return cut(count_tokens(d, "text", ["id", "source", "digest"]), "tokens")
+
+
+def p8_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of every piece of one over the capacity."""
+    items = _sizes(spark, sf_dir).select("id", F.col("tokens").alias("size"))
+    return pack(items, CAPACITY).select(F.col("id").alias("doc_id"), "piece", "size", "container")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill of the containers."""
+    p = p8_placement(spark, sf_dir)
+    return p.groupBy("container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("items"), (F.lit(CAPACITY) - F.sum("size")).alias("unused"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix in order of slot and offset."""
+    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares."""
+    return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return score_residue(d, "text", ["doc_id"], fit_residue(d, "text"))
