@@ -173,6 +173,10 @@ _SUSPICIOUS = re.compile(suspicious_pattern())
 _COARSE = rf"[^\x00-\x7F]{{2}}|{LOST}"
 
 
+# Blocks of characters that any corpus may hold; each counts as seen once.
+COMMON = [(0xA0, 0x180), (0x391, 0x3CA), (0x401, 0x460), (0x2010, 0x2045), (0x2190, 0x2300)]
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter[str] = Counter()
     for b in batches:
@@ -189,7 +193,10 @@ def character_frequencies(texts: DataFrame, column: str) -> tuple[dict[str, floa
     part = texts.select(t).where(F.col("__t").rlike(r"[^\x00-\x7F]")).mapInPandas(_count, "c string, n long")
     counts = part.groupBy("c").agg(F.sum("n").alias("n")).collect()
     total = size + 1e4
-    return {r["c"]: math.log((r["n"] + 0.01) / total) for r in counts}, math.log(0.01 / total)
+    seen = {chr(c): 1.0 for lo, hi in COMMON for c in range(lo, hi)}
+    for r in counts:
+        seen[r["c"]] = seen.get(r["c"], 0.01) + r["n"]
+    return {c: math.log(n / total) for c, n in seen.items()}, math.log(0.01 / total)
 
 
 def repair_encoding(df: DataFrame, column: str, keys: list[str]) -> DataFrame:

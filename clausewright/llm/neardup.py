@@ -199,7 +199,7 @@ def candidate_pairs(docs: DataFrame, fields: list[str], threshold: float, width:
     if rows_up_to(found.where("hot"), 0):
         h = found.where("hot").select("key", F.col("a").alias("rid"))
         left = h.select("key", F.col("rid").alias("a"), F.pmod(F.xxhash64("rid"), F.lit(salts)).alias("salt"))
-        right = h.select("key", F.col("rid").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("salt"))
+        right = h.select("key", F.col("rid").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
         out = out.unionByName(left.join(right, ["key", "salt"]).where("a < b").select("a", "b"))
     return out.distinct()
 

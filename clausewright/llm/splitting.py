@@ -51,7 +51,7 @@ def _nodes(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]
     forced = []
     gaps = np.flatnonzero(np.diff(at) > step)
     for g in gaps:
-        first = at[g] + (limit if at[g] < overlap else step)
+        first = max(at[g] - overlap, 0) + limit
         forced.append(np.arange(first, at[g + 1], step))
     kinds = np.array([3, *(kind[p] for p in at[1:-1].tolist()), 3], dtype=np.int8)
     if forced:
