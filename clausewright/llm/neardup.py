@@ -218,7 +218,10 @@ def similar_contents(docs: DataFrame, fields: list[str], threshold: float = 0.8,
         for b in batches:
             best = np.zeros(len(b))
             for f in fields:
-                x = [jaccard(shingle_set(s, width), shingle_set(t, width)) for s, t in zip(b[f"a_{f}"], b[f"b_{f}"], strict=True)]
+                sets: dict[str | None, frozenset] = {}
+                for t in {*b[f"a_{f}"], *b[f"b_{f}"]}:
+                    sets[t] = shingle_set(t, width)
+                x = [jaccard(sets[s], sets[t]) for s, t in zip(b[f"a_{f}"], b[f"b_{f}"], strict=True)]
                 best = np.maximum(best, x)
             o = pd.DataFrame({"a": b["a"], "b": b["b"], "similarity": best})
             yield o[best >= threshold]
