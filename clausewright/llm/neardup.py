@@ -35,11 +35,18 @@ from pyspark.sql import functions as F
 from clausewright.session import cut, rows_up_to
 
 _WORDS = re.compile(r"[^\W_]+")
+_ASCII_WORDS = re.compile(r"[a-z0-9]+")
+
+
+def split_words(text: str | None) -> list[str]:
+    """Maximal runs of letters or digits, in lower case."""
+    t = (text or "").lower()
+    return (_ASCII_WORDS if t.isascii() else _WORDS).findall(t)
 
 
 def shingle_set(text: str | None, width: int) -> frozenset:
     """The sets of consecutive words that similarity is defined on."""
-    w = _WORDS.findall((text or "").lower())
+    w = split_words(text)
     return frozenset(zip(*(w[i:] for i in range(width)), strict=False)) if len(w) >= width else frozenset()
 
 
@@ -67,7 +74,7 @@ _CACHE: dict[str, int] = {}
 
 def _word_ids(text: str) -> list[int]:
     out = []
-    for w in _WORDS.findall(text.lower()):
+    for w in split_words(text):
         h = _CACHE.get(w)
         if h is None:
             if len(_CACHE) > 1_000_000:
@@ -99,8 +106,11 @@ def minima(texts: list[str | None], width: int, functions: int) -> tuple[np.ndar
     starts = np.concatenate([[0], np.cumsum(sizes - width + 1)[:-1]])
     a, b = _parameters(functions)
     out = np.empty((len(have), functions), dtype=np.uint64)
+    mixed = np.empty_like(h)
     for j in range(functions):
-        out[:, j] = np.minimum.reduceat((h ^ b[j]) * a[j], starts)
+        np.bitwise_xor(h, b[j], out=mixed)
+        np.multiply(mixed, a[j], out=mixed)
+        out[:, j] = np.minimum.reduceat(mixed, starts)
     return have, out
 
 
@@ -244,7 +254,7 @@ def with_shingles(docs: DataFrame, fields: list[str], width: int) -> DataFrame:
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[[any(len(_WORDS.findall(t or "")) >= width for t in row) for row in b[fields].itertuples(index=False)], ["rid"]]
+            yield b.loc[[any(len(split_words(t)) >= width for t in row) for row in b[fields].itertuples(index=False)], ["rid"]]
 
     return docs.mapInPandas(some, "rid long")
 
