@@ -136,6 +136,7 @@ def candidate_pairs(docs: DataFrame, fields: list[str], threshold: float, width:
             n = len(b)
             sketch = np.zeros((n, len(fields)), dtype=np.uint64)
             found, at = [], []
+            earlier = []  # the prefixes of the fields before: one row for equal prefixes of a tree
             for f, name in enumerate(fields):
                 have, m = minima(b[name].tolist(), width, functions)
                 if not len(have):
@@ -147,13 +148,17 @@ def candidate_pairs(docs: DataFrame, fields: list[str], threshold: float, width:
                     pre = (pre ^ m[:, j::k][:, :trees]) * mixer[j]
                     pre ^= pre >> np.uint64(32)
                 pre += np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                found.append(pre.ravel())
-                at.append(np.repeat(have, trees))
+                fresh = np.ones(pre.shape, dtype=bool)
+                for has, old in earlier:
+                    fresh &= ~(has[have][:, None] & (old[have] == pre))
+                has, old = np.zeros(n, dtype=bool), np.zeros((n, trees), dtype=np.uint64)
+                has[have], old[have] = True, pre
+                earlier.append((has, old))
+                found.append(pre[fresh])
+                at.append(np.broadcast_to(have[:, None], pre.shape)[fresh])
             if not found:
                 continue
             key, row = np.concatenate(found), np.concatenate(at)
-            both = np.unique(np.stack([key, row.astype(np.uint64)], axis=1), axis=0)
-            key, row = both[:, 0], both[:, 1].astype(np.int64)
             out = {"key": key.view(np.int64), "rid": b["rid"].to_numpy()[row]}
             for f in range(len(fields)):
                 out[f"s{f}"] = sketch[row, f].view(np.int64)
