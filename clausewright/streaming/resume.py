@@ -22,7 +22,8 @@ def run_available(spark: SparkSession, path: str, schema, out: str, state: str,
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/part={batch}")
         done.append(batch)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    # a pattern, since a stream may not be started on a single file
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{path}*")
     q = stream.writeStream.foreachBatch(one).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return len(done)
