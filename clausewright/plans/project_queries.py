@@ -60,12 +60,27 @@ def queries() -> dict:
     return {"p1_found": p1_found, **{f"p1_{n}": p1_table(n) for n in TARGETS}, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found}
 
 
+def _objects_sql(t: str, c: str) -> str:
+    whole = f"case when json_valid({c}) then case when json_type({c}) = 'VARCHAR' then json_extract_string({c}, '$') else {c} end end"
+    return f"""select '{t}' as table_name, rid as row_id, '{c}' as field_name, replace(n.fullkey, '"', '') as node_path
+        from (select distinct id as rid, {whole} as j from {t}) s, json_tree(case when json_valid(j) then j else '[]' end) n where n.type = 'OBJECT'"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries of this module that SQL can express."""
     key = "nullif(lower(trim({0}, chr(9)||chr(10)||chr(13)||' '||chr(160))), '')"
     direct = []
     for k in PROJECT_KEYS:
         ref, pk, mark = key.format(f"c.{k.column}"), key.format("p.id"), key.format(f"p.{k.parent_status}")
-        direct.append(f"""select distinct '{k.child}' as table_name, c.id as row_id from {k.child} c where {ref} is not null and not exists (
+        direct.append(f"""select distinct '{k.child}' as table_name, c.id as row_id, {ref} as ref, c.{k.child_time} as seen from {k.child} c where {ref} is not null and not exists (
             select 1 from {k.parent} p where {pk} = {ref} and coalesce({mark}, '') <> 'deleted' and not coalesce(p.{k.parent_time} > c.{k.child_time}, false))""")
-    return {"p4_found": " union all ".join(direct)}
+    orphans = " union all ".join(direct)
+    ref = key.format("a.requirement_id")
+    report = f"""with d as ({orphans}), i as (select distinct 'assessments' as table_name, a.id as row_id, a.created_at as seen from assessments a
+        where {ref} in (select {key.format('row_id')} from d where table_name = 'requirements') and a.id not in (select row_id from d where table_name = 'assessments'))
+        select table_name, strftime(seen, '%Y-%m') as period, kind, count(distinct row_id) as orphans from (select table_name, row_id, seen, 'direct' as kind from d union all select table_name, row_id, seen, 'inherited' from i) group by all"""
+    return {
+        "p1_found": "select distinct * from (" + " union all ".join(_objects_sql(t, c) for t, c in JSON_FIELDS) + ")",
+        "p4_found": f"select distinct table_name, row_id from ({orphans})",
+        "p4_report": report,
+    }
