@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -109,15 +109,16 @@ def label(text: str, logp: dict[str, float], unseen: float) -> list[tuple[int, i
     restored: the sound text of the span; of the lost state the characters as they are.
     """
     n = len(text)
-    best: list[dict[str, float]] = [{} for _ in range(n + 1)]
-    back: list[dict[str, tuple[int, str, str]]] = [{} for _ in range(n + 1)]
-    best[0] = {"": 0.0}
+    # only positions that a path reaches are kept, so a long run of ASCII costs one entry
+    best: defaultdict[int, dict[str, float]] = defaultdict(dict)
+    back: defaultdict[int, dict[str, tuple[int, str, str]]] = defaultdict(dict)
+    best[0][""] = 0.0
     i = 0
     marks = [m.start() for m in re.finditer(r"[^\x00-\x7f]", text)]
     stops = iter([*marks, n])
     nxt = next(stops)
     while i < n:
-        here = best[i]
+        here = best.pop(i, None)
         if not here:
             i += 1
             continue

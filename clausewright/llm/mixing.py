@@ -67,7 +67,7 @@ def _owned(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, id, tokens): one row per distinct text, with the source it counts for."""
     t = F.broadcast(targets.select("source", "target_share"))
     rows = sizes.where("tokens > 0").join(t, "source")
-    scarce = rows.groupBy("source").agg((F.sum("tokens") / F.first("target_share")).alias("plenty"))
+    scarce = rows.groupBy("source").agg(F.when(F.max("target_share") > 0, F.try_divide(F.sum("tokens"), F.max("target_share"))).otherwise(F.lit(float("inf"))).alias("plenty"))
     r = rows.join(F.broadcast(scarce), "source")
     one = r.groupBy("digest").agg(F.min(F.struct("plenty", "source", "id", "tokens")).alias("m"))
     return one.select("m.source", "m.id", "m.tokens")
@@ -117,6 +117,6 @@ def mix(sizes: DataFrame, targets: DataFrame, block: int = 8192, period: int = 1
     m = u.drop("parts").join(F.broadcast(table), ["source", "k"]).withColumn("slot", F.floor(F.col("number") / F.col("parts")) * F.col("period") + F.col("first"))
     out = cut(m.select("slot", "offset", "source", "id", "repeat", "tokens"), "mix")
     got = out.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), (F.max("repeat") + 1).alias("repeats"))
-    share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())
+    share = F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(Window.partitionBy())), F.lit(0.0))
     shares = known.join(got, "source", "left").na.fill(0).select("source", "target_share", share.alias("actual_share"), "tokens", "uses", "repeats", "max_repeats", "available", (F.col("take") < F.col("target_share") * sum(p["available"] for p in plan) - 1).alias("short"))
     return out, shares

@@ -41,8 +41,8 @@ def test_pfair_deviation():
 
 def test_mix(spark):
     rows = [(i, "big", f"t{i}", 10) for i in range(500)] + [(1000 + i, "mid", f"m{i}", 10) for i in range(200)] + [(2000 + i, "small", f"s{i}", 10) for i in range(5)]
-    rows += [(3000, "mid", "t1", 10), (3001, "other", "o", 10), (3002, "big", "zero", 0), (0, "big", "t0", 10)]
-    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 2), ("small", 0.1, 3), ("absent", 0.0, 2)], "source string, target_share double, max_repeats int")
+    rows += [(3000, "mid", "t1", 10), (3001, "other", "o", 10), (3003, "unwanted", "u", 0), (3002, "big", "zero", 0), (0, "big", "t0", 10)]
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 2), ("small", 0.1, 3), ("absent", 0.0, 2), ("unwanted", 0.0, 2)], "source string, target_share double, max_repeats int")
     sizes = spark.createDataFrame(rows, "id long, source string, digest string, tokens long").selectExpr("*", "1 as slot")
     m, shares = mix(sizes, targets, block=50, period=100, bucket_rows=30)
     m, s = m.toPandas(), {r["source"]: r for r in shares.collect()}
@@ -59,6 +59,19 @@ def test_mix(spark):
         assert all(abs(v - s[k]["tokens"] / total * seen) < 110 for k, v in run.items())
 
 
+def test_mix_of_nothing(spark):
+    sizes = spark.createDataFrame([], "id long, source string, digest string, tokens long")
+    targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    m, shares = mix(sizes, targets)
+    assert m.count() == 0 and [(r["source"], r["tokens"]) for r in shares.collect()] == [("a", 0)]
+    none = targets.where("max_repeats > 5")
+    m, shares = mix(spark.createDataFrame([(1, "a", "d", 5)], sizes.schema), none)
+    assert m.count() == 0 and shares.count() == 0
+    two = spark.createDataFrame([(1, "a", "d", 5), (2, "z", "e", 5)], sizes.schema)
+    m, shares = mix(two, targets.unionByName(targets.selectExpr("'z' as source", "0.0D as target_share", "max_repeats")))
+    assert {r["source"]: r["tokens"] for r in shares.collect()} == {"a": 10, "z": 0}
+
+
 def test_residue(spark):
     topics = ["relay", "panel", "switch", "clock", "router", "server"]
     rows = [(i, f"The {a} shall report to the {b} under load. Wiring of the {a} follows the drawing of the {b}. The bid lists the {b} against the schedule {i % 7}.") for i, (a, b) in enumerate(itertools.product(topics, topics))]
