@@ -286,7 +286,7 @@ def _furniture_lines(texts: list[str], model: BoostedTrees) -> list[list[int]]:
         for i, line in enumerate(lines):
             s = line.strip()
             if 0 < i < len(lines) - 1 and s and len(s) <= 120 and s[-1] not in ".;:,":
-                if not (s[0].islower() and not _PAGE.match(s) or s[-1] in MARKS and s[-2:-1].isalpha()):
+                if not (s[0].islower() and not _PAGE.match(s) or s[-1] in MARKS and s[-2:-1].isalnum()):
                     rows.append(k)
                     at.append(i)
                     feats.append(_line_features(line, lines[i - 1], lines[i + 1]))
