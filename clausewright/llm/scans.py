@@ -196,7 +196,7 @@ def split_words(df: DataFrame, text: str, keys: list[str], counts: DataFrame, sa
 
 # ---------------------------------------------------------------- furniture
 _PAGE = re.compile(r"^\W*(?:[^\W\d_]{1,6}\.?\s*)?\d{1,5}(?:\s*(?:/|[^\W\d_]{1,3})\s*\d{1,5})?\W*$")
-_TOKEN = re.compile(r"\S+")
+_OPEN_DESIGNATION = re.compile(rf"\d[{MARKS}]\s*$")
 _LINES = re.compile(r"\r?\n")
 
 
@@ -287,6 +287,8 @@ def _furniture_lines(texts: list[str], model: BoostedTrees) -> list[list[int]]:
             s = line.strip()
             if 0 < i < len(lines) - 1 and s and len(s) <= 120 and s[-1] not in ".;:,":
                 if not (s[0].islower() and not _PAGE.match(s) or s[-1] in MARKS and s[-2:-1].isalnum()):
+                    if _OPEN_DESIGNATION.search(lines[i - 1]):
+                        continue
                     rows.append(k)
                     at.append(i)
                     feats.append(_line_features(line, lines[i - 1], lines[i + 1]))

@@ -20,6 +20,8 @@ def data(spark):
         ("g", f"{line(8)}\nManual LMV-3619 | Control Works\n- 5 -\n{line(8)}.\n{line(7)}."),
         ("m", f"{line(8)} c0nverter frorn {line(8)}."),
         ("std", "Clause 4.2 of IEC 61850-\n9-2 governs the names of the relay."),
+        ("std2", f"{line(8)} Clause 4.2 of IEC 61850-\n9-2\ngoverns the names of the relay."),
+        ("std3", f"{line(8)}.\nClause 4.2 of IEC 61850-\n9-2 governs the names of the relay. {line(8)}"),
         ("toc", "Contents\nnormal operation ........ 3\nalarm signals ........ 4\nnorthern feeders ........ 5\n"),
         ("n", None),
         ("e", ""),
