@@ -162,7 +162,9 @@ def _joiner(vocabulary: list[tuple[str, int]], seed: int = 11) -> BoostedTrees:
         w = rng.choice(names)
         i = rng.randint(2, len(w) - 2)
         a, b = w[:i], w[i:]
-        x.append(_join_features(a, b, count[w], 0, count.get(a, 0), count.get(b, 0)))
+        # a tenth as words that stand nowhere else whole, told by fragments that are no words
+        rare = rng.random() < 0.1 and not (count.get(a, 0) and count.get(b, 0))
+        x.append(_join_features(a, b, 0 if rare else count[w], 0, count.get(a, 0), count.get(b, 0)))
         y.append(1)
         v, u = rng.choice(names), rng.choice(names)
         x.append(_join_features(v, u, count.get(v + u, 0), rng.randint(0, 200), count[v], count[u]))
