@@ -2,7 +2,8 @@
 
 Method: positive-unlabelled naive Bayes by expectation-maximization.  Records
 that mostly consist of passages with sure signs (seed patterns) are trusted;
-their passages are positive, all others unlabelled.  Every round re-estimates
+their passages with a sign are positive, those beside them begin with even
+odds, and all others are unlabelled.  Every round re-estimates
 the word and word-pair frequencies of both classes from the current
 probabilities of all distinct passages, and the probabilities from the
 frequencies.  Then the passages of all records are scored, and a record holds
@@ -82,8 +83,11 @@ def fit_residue(df: DataFrame, text: str, rounds: int = 4, trusted_share: float
     p = df.select(passages(F.col(text)).alias("p")).where(F.size("p") > 0)
     share = F.size(F.filter("p", lambda x: x.rlike(_SEED))) / F.size("p")
     p = p.select("p", ((share >= trusted_share) & (F.size("p") <= trusted_passages)).alias("trusted"))
-    known = cut(p.select(F.explode("p").alias("p"), "trusted").groupBy("p").agg((F.avg(F.col("trusted").cast("double")) > 0.5).alias("trusted")), "passages")
-    n = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("trusted").alias("t")).first()
+    known = p.select(F.explode("p").alias("p"), "trusted").groupBy("p").agg((F.avg(F.col("trusted").cast("double")) > 0.5).alias("trusted"))
+    # 1: positive; 0.5: beside a positive passage in a trusted record, even odds to begin with; 0: unlabelled
+    start = F.when(F.col("trusted"), F.when(F.col("p").rlike(_SEED), 1.0).otherwise(0.5)).otherwise(0.0)
+    known = cut(known.select("p", start.alias("start")), "passages")
+    n = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("start") == 1).alias("t")).first()
     if not n["t"]:
         return None
     model = None
@@ -92,9 +96,10 @@ def fit_residue(df: DataFrame, text: str, rounds: int = 4, trusted_share: float
         def sums(batches: Iterator[pd.DataFrame], model: ResidueModel | None = model) -> Iterator[pd.DataFrame]:
             pos, every, total = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
             for b in batches:
-                for passage, trusted in zip(b["p"], b["trusted"], strict=True):
+                for passage, begin in zip(b["p"], b["start"], strict=True):
                     f = _features(passage)
-                    w = 1.0 if trusted else 0.0 if model is None else float(1 / (1 + np.exp(-np.clip(model.prior + model.odds[f].sum(), -50, 50))))
+                    prior = 0.0 if begin or model is None else model.prior
+                    w = begin if model is None or begin == 1 else float(1 / (1 + np.exp(-np.clip(prior + model.odds[f].sum(), -50, 50))))
                     every[f] += 1
                     pos[f] += w
                     total += w
