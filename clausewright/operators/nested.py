@@ -87,6 +87,8 @@ def node_paths(df: DataFrame, key: str, column: str, table_name: str) -> DataFra
 
 #: Target tables: pattern of the path without its array indices, and columns with the member names they may have.
 TARGETS: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = {
+    "solution": (r"^\$$", {"name": ("name",), "summary": ("summary",), "version": ("version",)}),
+    "evidence_wrapper": (r"^\$$", {"version": ("version",)}),
     "citation": (r"(^\$|\.evidence)$", {"file_name": ("file_name", "fileName"), "quote": ("quote",), "location": ("location",), "score": ("score",)}),
     "citation_location": (r"\.location$", {"page": ("page",), "bbox": ("bbox",)}),
     "gate": (r"\.gate$", {"lexical_overlap": ("lexical_overlap",), "prematch_score": ("prematch_score",), "material_overlap": ("material_overlap",)}),
@@ -94,7 +96,7 @@ TARGETS: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = {
     "token_span": (r"\.spans$", {"start": ("start",), "end": ("end",)}),
     "cited_table": (r"\.table$", {"header": ("header",), "rows": ("rows",)}),
     "table_cell": (r"\.rows$", {"text": ("text",)}),
-    "alternate": (r"(^\$|\.options)$", {"product_name": ("product_name",), "rationale": ("rationale",)}),
+    "alternate": (r"(^\$|(?<!\.bill_of_material)\.options)$", {"product_name": ("product_name",), "rationale": ("rationale",)}),
     "bill_item": (r"\.bill_of_material$", {"item": ("item",), "product": ("product",), "quantity": ("quantity",), "purpose": ("purpose",)}),
     "item_option": (r"\.bill_of_material\.options$", {"code": ("code",), "count": ("count",)}),
     "option_interface": (r"\.interfaces$", {"name": ("name",), "protocol": ("protocol",)}),
@@ -104,6 +106,27 @@ TARGETS: dict[str, tuple[str, dict[str, tuple[str, ...]]]] = {
     "clause": (r"\.clauses$", {"no": ("no",), "name": ("name",)}),
 }
 
+#: Objects of the root level (the root, or elements of a root array) are told by their column, where it is known, else by their members.
+_ROOT_OF = {"solution": "field_name = 'solution_json'", "alternate": "field_name = 'alternate_json'", "citation": "(field_name = 'evidence_json' and n.path <> '$')"}
+#: Arrays of plain values with a table of their own: pattern of the path of the object that has them, member and column.
+LISTS: dict[str, tuple[str, str, str]] = {"assumption": (r"^\$$", "assumptions", "text")}
+_SHAPE = r"regexp_replace(n.path, r'\[[0-9]+\]', '')"
+
+
+def _has(members: Sequence[str]) -> str:
+    return "(" + " or ".join(f"""variant_get(n.v, '$["{m}"]', 'variant') is not null""" for m in members) + ")"
+
+
+def _belongs(name: str, columns: Mapping[str, Sequence[str]]) -> str:
+    """SQL: whether an object whose path fits is of the table; below the root the path alone decides."""
+    if name == "evidence_wrapper":
+        cited = [m for members in TARGETS["citation"][1].values() for m in members]
+        return f"field_name = 'evidence_json' and n.path = '$' and ({_has(['version', 'evidence'])} or not {_has(cited)})"
+    if name == "solution":
+        return _ROOT_OF[name]
+    has = _has([m for members in columns.values() for m in members])
+    return f"({_SHAPE} <> '$' or {_ROOT_OF.get(name, 'false')} or {has})"
+
 
 def flat_table(nodes: DataFrame, name: str, targets: Mapping[str, tuple[str, dict[str, Sequence[str]]]] = TARGETS) -> DataFrame:
     """One target table: (row_id, field_name, node_path, parent_path, position, columns...), by one inline.
@@ -112,8 +135,16 @@ def flat_table(nodes: DataFrame, name: str, targets: Mapping[str, tuple[str, dic
     table holds it.  Members of another type are given as their JSON text.
     """
     pattern, columns = targets[name]
-    shape = r"regexp_replace(n.path, r'\[[0-9]+\]', '')"
     got = ", ".join("coalesce(" + ", ".join(f"""try_variant_get(n.v, '$["{m}"]', 'string')""" for m in members) + f") as `{c}`" for c, members in columns.items())
-    has = " or ".join(f"""variant_get(n.v, '$["{m}"]', 'variant') is not null""" for members in columns.values() for m in members)
-    inline = f"inline(transform(filter(nodes, n -> {shape} rlike r'{pattern}' and ({has})), n -> struct(n.path as node_path, n.above as parent_path, n.idx as position, {got})))"
+    inline = f"inline(transform(filter(nodes, n -> {_SHAPE} rlike r'{pattern}' and {_belongs(name, columns)}), n -> struct(n.path as node_path, n.above as parent_path, n.idx as position, {got})))"
     return nodes.select("row_id", "field_name", F.expr(inline))
+
+
+def flat_list(nodes: DataFrame, name: str) -> DataFrame:
+    """A target table with one row per element of an array of plain values; a value that is no array is its only element, without position."""
+    pattern, member, column = LISTS[name]
+    value = f"""variant_get(n.v, '$["{member}"]', 'variant')"""
+    item = lambda step, i: f"struct(concat(n.path, '.{member}'{step}) as node_path, n.path as parent_path, {i} as position, try_variant_get(v, '$', 'string') as `{column}`)"
+    listed = f"transform(try_variant_get({value}, '$', 'array<variant>'), (v, i) -> {item(", '[', i, ']'", 'i')})"
+    alone = f"transform(filter(array({value}), v -> not is_variant_null(v)), v -> {item('', 'cast(null as int)')})"
+    return nodes.select("row_id", "field_name", F.expr(f"inline(flatten(transform(filter(nodes, n -> {_SHAPE} rlike r'{pattern}' and {value} is not null), n -> coalesce({listed}, {alone}))))"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.operators.nested import TARGETS, flat_table, nested_nodes, node_paths
+from clausewright.operators.nested import LISTS, TARGETS, flat_list, flat_table, nested_nodes, node_paths
 from clausewright.operators.orphans import PROJECT_KEYS, direct_orphans, orphan_cascade, orphan_report
 from clausewright.operators.units import convert_quantities
 from clausewright.session import table
@@ -30,7 +30,7 @@ def p1_table(name: str):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         nodes = _all([nested_nodes(table(spark, sf_dir, t), "id", c) for t, c in JSON_FIELDS])
-        return flat_table(nodes, name).distinct()
+        return (flat_list if name in LISTS else flat_table)(nodes, name).distinct()
 
     return run
 
@@ -57,7 +57,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """All queries of this module."""
-    return {"p1_found": p1_found, **{f"p1_{n}": p1_table(n) for n in TARGETS}, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found}
+    return {"p1_found": p1_found, **{f"p1_{n}": p1_table(n) for n in [*TARGETS, *LISTS]}, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found}
 
 
 def _objects_sql(t: str, c: str) -> str:

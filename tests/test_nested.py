@@ -1,6 +1,6 @@
 import json
 
-from clausewright.operators.nested import TARGETS, flat_table, nested_nodes, node_paths
+from clausewright.operators.nested import LISTS, TARGETS, flat_list, flat_table, nested_nodes, node_paths
 
 DOCS = [
     ("a", '{"x": [1, {"y": {}}, [{"z": null}]], "k.k": {"b": NaN}}'),
@@ -57,3 +57,32 @@ def test_flat_tables_keep_parents(spark):
 
 def test_empty_table(spark):
     assert node_paths(spark.createDataFrame([], "id string, j string"), "id", "j", "t").count() == 0
+
+
+NESTED = [
+    ("s", "solution_json", {"name": "N", "summary": "S", "assumptions": ["one", None, {"x": 1}], "bill_of_material": [{"options": [{"interfaces": [{"name": "i"}]}]}], "deviations": [{"clauses": [{"no": "1"}]}]}),
+    ("t", "solution_json", {"assumptions": "alone", "cohesion_checks": [{"references": [{"evidence": [{"gate": {"tokens": [{"spans": [{"start": 0}]}]}}]}]}]}),
+    ("u", "solution_json", {"name": None, "assumptions": None}),
+    ("w", "evidence_json", {"version": 2, "evidence": [{"gate": {"tokens": []}}, {"table": {"rows": [[{"text": "c"}]]}}]}),
+    ("v", "evidence_json", {"evidence": [{"quote": "q"}]}),
+    ("x", "evidence_json", [{"gate": {"lexical_overlap": 0.5}}, {"quote": "q"}]),
+    ("y", "evidence_json", {"quote": "q", "gate": {}}),
+    ("a", "alternate_json", {"options": [{"evidence": [{"quote": "q"}]}]}),
+]
+
+
+def test_every_parent_is_in_a_table(spark):
+    rows = {n: [] for n in [*TARGETS, *LISTS]}
+    for field in sorted({f for _, f, _ in NESTED}):
+        d = spark.createDataFrame([(i, json.dumps(v)) for i, f, v in NESTED if f == field], f"id string, {field} string")
+        nodes = nested_nodes(d, "id", field)
+        for n in rows:
+            rows[n] += (flat_list if n in LISTS else flat_table)(nodes, n).collect()
+    there = {(r["row_id"], r["node_path"]) for rs in rows.values() for r in rs}
+    assert {(r["row_id"], r["parent_path"]) for rs in rows.values() for r in rs if r["parent_path"] is not None} <= there
+    assert {(i, p) for i, _, v in NESTED for p in expected(json.dumps(v))} <= there
+    assert {(r["row_id"], r["name"], r["summary"]) for r in rows["solution"]} == {("s", "N", "S"), ("t", None, None), ("u", None, None)}
+    assert {(r["row_id"], r["version"]) for r in rows["evidence_wrapper"]} == {("w", "2"), ("v", None)}
+    assert {(r["row_id"], r["node_path"], r["position"], r["text"]) for r in rows["assumption"]} == {("s", "$.assumptions[0]", 0, "one"), ("s", "$.assumptions[1]", 1, None), ("s", "$.assumptions[2]", 2, '{"x":1}'), ("t", "$.assumptions", None, "alone")}
+    assert {(r["row_id"], r["node_path"]) for r in rows["alternate"]} == {("a", "$"), ("a", "$.options[0]")}
+    assert {r["row_id"] for r in rows["citation"] if r["node_path"] == "$"} == {"y"}
