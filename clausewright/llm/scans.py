@@ -54,8 +54,8 @@ def _usable(w: Column) -> Column:
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
-    """(word, n): how often each word stands in all texts."""
-    w = df.select(F.explode(words(F.col(text))).alias("word"))
+    """(word, n): in how many distinct texts each word stands; copies of a text, however many, count once."""
+    w = df.select(text).distinct().select(F.explode(F.array_distinct(words(F.col(text)))).alias("word"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(_usable(F.col("word")))
 
 
@@ -79,6 +79,7 @@ def _ranker(vocabulary: list[tuple[str, int]], seed: int = 7) -> BoostedTrees:
     names = [w for w, _ in vocabulary if w.isalpha()]
     count = dict(vocabulary)
     x, y = [], []
+    often = lambda m: min(m, int(np.exp(rng.uniform(0, np.log1p(m)))))  # noqa: E731  # from once to as often as the word itself
 
     def shared(a: str, b: str) -> int:
         ga, gb = {f"^{a}$"[i : i + 2] for i in range(len(a) + 1)}, {f"^{b}$"[i : i + 2] for i in range(len(b) + 1)}
@@ -93,8 +94,18 @@ def _ranker(vocabulary: list[tuple[str, int]], seed: int = 7) -> BoostedTrees:
                 t[i] = rng.choice(MISREAD[t[i]])
             bad = "".join(t)
             if bad not in count:
-                x.append(_features(bad, rng.randint(1, max(1, count[w] // 50)), w, count[w], shared(bad, w)))
+                n = often(count[w])
+                x.append(_features(bad, n, w, count[w], shared(bad, w)))
                 y.append(1)
+                # misread words are no replacements, neither of the right word nor of its other misreadings
+                x.append(_features(w, count[w], bad, n, shared(w, bad)))
+                y.append(0)
+                t = list(w)
+                i = rng.choice(spots)
+                t[i] = rng.choice(MISREAD[t[i]])
+                if (other := "".join(t)) != bad:
+                    x.append(_features(other, rng.randint(1, n), bad, n, shared(other, bad)))
+                    y.append(0)
         # sound words beside their neighbours: other words of the corpus, and rare ones one edit away
         v = rng.choice(names)
         if v != w and abs(len(v) - len(w)) <= 2:
@@ -112,8 +123,18 @@ def _ranker(vocabulary: list[tuple[str, int]], seed: int = 7) -> BoostedTrees:
             t.pop(i)
         near = "".join(t)
         if near not in count and distance(near, w) >= 1:
-            x.append(_features(near, rng.randint(1, max(1, count[w] // 50)), w, count[w], shared(near, w)))
+            x.append(_features(near, often(count[w]), w, count[w], shared(near, w)))
             y.append(0)
+    # frequent words that are one misreading apart are both sound
+    usual = set(sorted(names, key=lambda w: (-count[w], w))[: len(names) // 2])
+    for w in sorted(usual):
+        for i, c in enumerate(w):
+            for near in (w[:i] + m + w[i + 1 :] for m in MISREAD.get(c, []) if w[:i] + m + w[i + 1 :] in usual):
+                if count[near] < count[w]:
+                    for _ in range(20):  # beside as many rare misreadings of the same word
+                        x.append(_features(near, count[near], w, count[w], shared(near, w)))
+                        x.append(_features(near, rng.randint(1, max(1, count[w] // 50)), w, count[w], shared(near, w)))
+                        y += [0, 1]
     if not x:
         x, y = [[9.0] * _FEATURES], [0]
     return BoostedTrees().fit(np.array(x, dtype=float), np.array(y, dtype=float))
@@ -122,9 +143,10 @@ def _ranker(vocabulary: list[tuple[str, int]], seed: int = 7) -> BoostedTrees:
 def corrections(counts: DataFrame, ratio: int = 10, sample_words: int = 2000, least: int = 5) -> DataFrame:
     """(word, replacement): the misread words of a counted vocabulary.
 
-    Trusted targets are words of letters only in at least `least` texts; a
-    candidate must be `ratio` times as frequent as the word.  The ranker is
-    fitted on the `sample_words` most frequent words.
+    Trusted targets are words of letters only in at least `least` distinct
+    texts; a candidate must stand in `ratio` times as many texts as the word,
+    so a right word in fewer than `ratio` texts corrects nothing.  The ranker
+    is fitted on the `sample_words` most frequent words.
     """
     trusted = counts.where(F.col("word").rlike("^[a-z]+$") & (F.col("n") >= least))
     top = [(r["word"], r["n"]) for r in trusted.orderBy(F.desc("n"), "word").limit(sample_words).collect()]

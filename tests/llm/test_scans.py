@@ -50,3 +50,11 @@ def test_repair(data):
 def test_empty(spark):
     e = spark.createDataFrame([], "id string, text string")
     assert all(d.count() == 0 for d in scan_findings(e, "text", ["id"]).values())
+
+
+def test_misread_in_many_copies(data, spark):
+    df, _ = data
+    line = "the relay shall supply one c0nverter under normal operation with certified accuracy."
+    d = df.select("id", "text").unionByName(spark.createDataFrame([(f"k{i}", line) for i in range(150)], "id string, text string"))
+    got = {(r["id"], r["word"], r["replacement"]) for r in scan_findings(d, "text", ["id"])["misread"].collect()}
+    assert got == {("m", "c0nverter", "converter"), ("m", "frorn", "from"), *((f"k{i}", "c0nverter", "converter") for i in range(150))}
