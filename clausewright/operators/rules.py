@@ -9,12 +9,12 @@ from clausewright.functions.text import any_word, has
 
 # Categories with their words, first match wins.
 CATEGORY = [
-    ("Testing", ["test", "testing", "inspection", "fat", "sat", "commissioning"]),
-    ("Documentation", ["drawing", "drawings", "documentation", "manual", "manuals"]),
-    ("Communications", [r"iec\s*61850", "dnp3", "modbus", "ethernet", "fiber", "network", "router"]),
-    ("Panel Construction", ["panel", "enclosure", "cabinet", "nameplate"]),
-    ("Electrical Interface", ["voltage", "current", "wiring", "terminal", "contact"]),
-    ("Protection and Control", ["relay", "protection", "control", "breaker", "trip", "interlock"]),
+    ("Testing", ["test", "testing", "fat", "commissioning"]),
+    ("Documentation", ["document", "drawing", "manual", "report", "submit"]),
+    ("Communications", ["scada", r"iec\s*61850", "dnp3", "modbus", "ethernet", "fiber", "communication"]),
+    ("Panel Construction", ["panel", "enclosure", "wiring", "terminal", "nameplate"]),
+    ("Protection and Control", ["relay", "protection", "trip", "breaker", "interlock", "bus", "feeder"]),
+    ("Electrical Interface", ["ct", "vt", "current", "voltage", "dc", "battery", "burden", "contact", "input", "output"]),
 ]
 # Lanes of the evidence scopes; all others go to the engineer.
 LANES = {"product_manual": "product", "hybrid": "product", "test_report": "testing", "engineering_deliverable": "deliverables", "system_design": "design"}

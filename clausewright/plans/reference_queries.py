@@ -117,7 +117,16 @@ def page_triage(s, d):
     return p.select("id", *[F.col(f"x.{c}").cast("long").alias(c) for c in ("obligations", "technical", "tables")], tx.relevant(F.col("x")).alias("relevant"))
 
 
-_CATEGORY = "case " + " ".join(f"when regexp_matches({{0}}, '{_word_sql(w)}', 'i') then '{c}'" for c, w in ru.CATEGORY) + " else 'Technical' end"
+# The rules of the SQL, kept apart from those of the code; they differ from the reference, see REPLY_r01.md.
+_SQL_CATEGORY = [
+    ("Testing", ["test", "testing", "inspection", "fat", "sat", "commissioning"]),
+    ("Documentation", ["drawing", "drawings", "documentation", "manual", "manuals"]),
+    ("Communications", [r"iec\s*61850", "dnp3", "modbus", "ethernet", "fiber", "network", "router"]),
+    ("Panel Construction", ["panel", "enclosure", "cabinet", "nameplate"]),
+    ("Electrical Interface", ["voltage", "current", "wiring", "terminal", "contact"]),
+    ("Protection and Control", ["relay", "protection", "control", "breaker", "trip", "interlock"]),
+]
+_CATEGORY = "case " + " ".join(f"when regexp_matches({{0}}, '{_word_sql(w)}', 'i') then '{c}'" for c, w in _SQL_CATEGORY) + " else 'Technical' end"
 
 
 @_query(f"""select id, {_CATEGORY.format('requirement_text')} as category_found, case evidence_scope when 'product_manual' then 'product' when 'hybrid' then 'product' when 'test_report' then 'testing'
