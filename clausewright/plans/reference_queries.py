@@ -102,7 +102,7 @@ _OBLIGED = f"(regexp_matches({{0}}, '{_word_sql(tx.MODAL)}', 'i') or regexp_matc
 def obligation_filter(s, d):
     """Predicates of an obligation."""
     t = F.col("requirement_text")
-    return _req(s, d).select("id", tx.obligation(t).alias("obliged"), tx.has(t, tx.any_word(tx.TECHNICAL)).alias("technical"), tx.complete(t).alias("complete"))
+    return _req(s, d).select("id", tx.obligation(t).alias("obliged"), tx.has(t, tx.any_word(tx.TECHNICAL_TERMS)).alias("technical"), tx.complete(t).alias("complete"))
 
 
 _TABLE = rf"(?:\|[^\n]*\|)|(?:\b\d+(?:\.\d+)?\s*(?:{'|'.join(tx.TABLE_UNITS)})\b)"

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from clausewright.functions import text as tx
 from clausewright.operators import rules as ru
 
 CATEGORIES = (
@@ -21,3 +22,10 @@ def test_category(spark):
     want = {t: next((c for c, p in CATEGORIES if re.search(p, t, re.IGNORECASE)), "Technical") for t in TEXTS}
     d = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     assert {r["t"]: r["c"] for r in d.select("t", ru.first_match(F.col("t"), ru.CATEGORY, "Technical").alias("c")).collect()} == want
+
+
+def test_technical_vocabulary(spark):
+    terms = "drawing documentation manual training commissioning enclosure nameplate contact input output frequency temperature voltage current accuracy burden relay".split()
+    d = spark.createDataFrame([(t,) for t in [*terms, "drawings", "price"]], "t string")
+    assert {r["t"] for r in d.where(tx.has(F.col("t"), tx.any_word(tx.TECHNICAL_TERMS))).collect()} == set(terms)
+    assert d.select(tx.page_signals(F.col("t"))["technical"].alias("n")).groupBy().sum("n").first()[0] == 1
