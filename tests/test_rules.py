@@ -29,3 +29,17 @@ def test_technical_vocabulary(spark):
     d = spark.createDataFrame([(t,) for t in [*terms, "drawings", "price"]], "t string")
     assert {r["t"] for r in d.where(tx.has(F.col("t"), tx.any_word(tx.TECHNICAL_TERMS))).collect()} == set(terms)
     assert d.select(tx.page_signals(F.col("t"))["technical"].alias("n")).groupBy().sum("n").first()[0] == 1
+
+
+READINGS = {
+    "It sbau and sltall, sl1all": "It shall and shall, shall", "lEDs by JEC 61850 and !EC61850, JEC 9": "IED by IEC 61850 and IEC61850, JEC 9", "meglng mcging ench Md md": "merging merging each and md", "HM! dalll nil ran": "HMI data all run",
+    "subslntion e!eclrooics sy.tcm sy itcm": "substation electronic file system system", "confonn systc~ hyEGAT": "conform system by EGAT", "standard lo coordinate lcle protection niong": "standard to coordinate teleprotection along",
+    "cxisliog hardcopyand digiL'll IIMI": "existing hardcopy and digital HMI", "SCD mes and cid  mes": "SCD files and cid files", "programmable:  x": "programmable x",
+}
+
+
+def test_repairs_and_garble(spark):
+    d = spark.createDataFrame([(t,) for t in [*READINGS, "a!b", "swithcing", "sound; text"]], "t string")
+    got = {r["t"]: (r["x"], r["g"]) for r in d.select("t", tx.repair(F.col("t")).alias("x"), tx.garbled(F.col("t")).alias("g")).collect()}
+    assert {t: got[t][0] for t in READINGS} == READINGS
+    assert [got[t][1] for t in ("a!b", "swithcing", "sound; text", "HM! dalll nil ran")] == [True, True, False, True]
