@@ -35,17 +35,15 @@ def _parse(text: str) -> str:
     return f"get(get(filter(array({wrapped}), a -> size(a) = 2), 0), 0)"
 
 
-def _opened(text: str, unwraps: int = 2) -> str:
-    """SQL: like _parse, and JSON texts inside a whole-value JSON string are opened.
+def _opened(text: str) -> str:
+    """SQL: like _parse, and JSON texts inside a whole-value JSON string are opened, however often they were wrapped.
 
-    Every value is bound to a lambda variable once, so that it is parsed once
-    however often the expression mentions it.
+    Every wrapping more than doubles the marks around a value, so the logarithm
+    of the length bounds the steps; a text that is no JSON string takes none.
     """
-    doc = _parse(text)
-    for k in range(unwraps):
-        inner = f"get(transform(array(try_variant_get(d{k}, '$', 'string')), t{k} -> {_parse(f't{k}')}), 0)"
-        doc = f"get(transform(array({doc}), d{k} -> if(schema_of_variant(d{k}) = 'STRING', {inner}, d{k})), 0)"
-    return doc
+    steps = f"sequence(1, cast(ceil(log2(length({text}) + 1)) as int))"
+    inner = f"aggregate({steps}, {text}, (t, k) -> if(t rlike '^[ \\\\t\\\\n\\\\r]*\"', try_variant_get({_parse('t')}, '$', 'string'), t))"
+    return _parse(f"if({text} rlike '^[ \\\\t\\\\n\\\\r]*\"', {inner}, {text})")
 
 
 _OBJ = "try_variant_get(n.v, '$', 'map<string,variant>')"

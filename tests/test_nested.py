@@ -55,6 +55,15 @@ def test_flat_tables_keep_parents(spark):
     assert all(flat_table(n, t).count() >= 0 for t in TARGETS)
 
 
+def test_texts_wrapped_many_times(spark):
+    text, rows = '{"a": {}}', []
+    for n in range(7):
+        rows.append((f"w{n}", text))
+        text = " " + json.dumps(text)
+    got = {(r["row_id"], r["node_path"]) for r in node_paths(spark.createDataFrame(rows, "id string, j string"), "id", "j", "t").collect()}
+    assert got == {(i, p) for i, _ in rows for p in ("$", "$.a")}
+
+
 def test_empty_table(spark):
     assert node_paths(spark.createDataFrame([], "id string, j string"), "id", "j", "t").count() == 0
 
