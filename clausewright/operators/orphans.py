@@ -11,18 +11,19 @@ blank reference is no orphan; a parent without a time counts as always
 there; a child without a time is an orphan only if no valid parent has its
 key; repeated records count once; empty parent tables make every reference
 an orphan.  Parents are first reduced to one row per key (the earliest valid
-time), so a hot key on the child side meets one parent row, and the join is
-spread over salts where the parents are too many to broadcast.
+time), so a hot key on the child side meets one parent row, and where the
+parents are too many to broadcast, the rows of hot keys are spread over salts.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.session import cut, join_checked, norm_key, rows_up_to
+from clausewright.session import BROADCAST_BYTES, cut, join_checked, norm_key, rows_up_to
 
 
 @dataclass(frozen=True)
@@ -45,25 +46,25 @@ def valid_parents(parents: DataFrame, fk: ForeignKey) -> DataFrame:
     return p.groupBy("ref").agg(F.when(F.count("since") == F.count(F.lit(1)), F.min("since")).alias("since"))
 
 
-def direct_orphans(children: DataFrame, parents: DataFrame, fk: ForeignKey, broadcast_rows: int = 100_000) -> DataFrame:
+def direct_orphans(children: DataFrame, parents: DataFrame, fk: ForeignKey, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(table_name, row_id, ref, at, reason) of the child rows without a valid parent; reason: missing or later.
 
     Rows deleted and rows that never were can't be told apart by their key alone; both are `missing`.
     """
     c = children.select(F.col(f"`{fk.key}`").alias("row_id"), norm_key(fk.column).alias("ref"), F.col(f"`{fk.child_time}`").alias("at")).where("ref is not null")
     p = valid_parents(parents, fk).withColumn("there", F.lit(True))
-    j = join_checked(c, p, ["ref"], "left", broadcast_rows)
+    j = join_checked(c, p, ["ref"], "left", broadcast_bytes)
     reason = F.when(F.col("there").isNull(), "missing").when(F.col("since") > F.col("at"), "later")
     return j.select(F.lit(fk.child).alias("table_name"), "row_id", "ref", "at", reason.alias("reason")).where("reason is not null")
 
 
-def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], max_levels: int = 64) -> DataFrame:
+def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFrame:
     """(table_name, row_id, ref, at, kind, level): direct orphans at level 0 and those that inherit at the level reached first.
 
     Each level is written to the shared folder, so that a lost executor costs no
-    earlier level.  The loop ends when a level adds no row; the number of levels
-    is at most the longest path of the foreign-key graph, or, for graphs with
-    cycles, the longest chain of records.
+    earlier level.  The loop ends when a level adds no row, so the number of
+    levels is at most the longest path of the foreign-key graph, or, for graphs
+    with cycles, the longest chain of records; nothing else bounds it.
     """
     direct = None
     for fk in keys:
@@ -72,14 +73,14 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey], max_lev
     direct = direct.select("table_name", "row_id", "ref", "at", F.lit("direct").alias("kind"), F.lit(0).alias("level")).distinct()
     known = cut(direct, "orphans-0")
     frontier, found = known, known
-    for level in range(1, max_levels):
+    for level in itertools.count(1):
         parts = None
         for fk in keys:
             bad = frontier.where(F.col("table_name") == fk.parent).select(norm_key("row_id").alias("ref")).where("ref is not null").distinct()
             c = tables[fk.child].select(F.col(f"`{fk.key}`").alias("row_id"), norm_key(fk.column).alias("ref"), F.col(f"`{fk.child_time}`").alias("at")).where("ref is not null")
             part = join_checked(c, bad, ["ref"], "inner").select(F.lit(fk.child).alias("table_name"), "row_id", "ref", "at")
             parts = part if parts is None else parts.unionByName(part)
-        fresh = parts.distinct().join(found.select("table_name", "row_id"), ["table_name", "row_id"], "left_anti")
+        fresh = parts.distinct().join(found.select("table_name", "row_id").hint("merge"), ["table_name", "row_id"], "left_anti")
         fresh = cut(fresh.select("table_name", "row_id", "ref", "at", F.lit("inherited").alias("kind"), F.lit(level).alias("level")), f"orphans-{level}")
         if rows_up_to(fresh, 0) == 0:
             break

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.operators.nested import LISTS, TARGETS, flat_list, flat_table, nested_nodes, node_paths
-from clausewright.operators.orphans import PROJECT_KEYS, direct_orphans, orphan_cascade, orphan_report
+from clausewright.operators.orphans import PROJECT_KEYS, orphan_cascade, orphan_report
 from clausewright.operators.units import convert_quantities
 from clausewright.session import table
 
@@ -35,16 +35,18 @@ def p1_table(name: str):
     return run
 
 
+def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphan_cascade({n: table(spark, sf_dir, n) for k in PROJECT_KEYS for n in (k.child, k.parent)}, PROJECT_KEYS)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Child rows without a valid parent."""
-    t = {n: table(spark, sf_dir, n) for k in PROJECT_KEYS for n in (k.child, k.parent)}
-    return _all([direct_orphans(t[k.child], t[k.parent], k).select("table_name", "row_id") for k in PROJECT_KEYS]).distinct()
+    """Child rows without a valid parent: what the cascade reports as direct."""
+    return _orphans(spark, sf_dir).where("kind = 'direct'").select("table_name", "row_id").distinct()
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct and inherited orphans per table and month."""
-    t = {n: table(spark, sf_dir, n) for k in PROJECT_KEYS for n in (k.child, k.parent)}
-    return orphan_report(orphan_cascade(t, PROJECT_KEYS))
+    return orphan_report(_orphans(spark, sf_dir))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_spark(app: str = "clausewright", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,12 +35,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process; only then do they share the machine's folders."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
+@functools.lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="clausewright-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset, a local one."""
+    """This application's folder in spark.checkpoint.dir; in local mode, where that is unset, a folder that ends with the process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.gettempdir()}/clausewright-{os.getpid()}"
-    return root.rstrip("/")
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own_dir()
+    return f"{root.rstrip('/')}/clausewright-{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, uri: str) -> tuple:
+    """The file system of a URI and its path there."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()), path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; frames that were returned can't be read any more."""
+    fs, path = _path(spark, shared_dir(spark))
+    fs.delete(path, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -52,19 +83,39 @@ def rows_up_to(df: DataFrame, bound: int) -> int:
     return df.limit(bound + 1).count()
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", bound: int = 100_000, salts: int = 32) -> DataFrame:
-    """Join where one key of left may hold a great part of its rows.
+def extent(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a frame whose columns are texts and plain values."""
+    width = sum((F.coalesce(F.octet_length(f.name), F.lit(0)) + 24 if isinstance(f.dataType, T.StringType) else F.lit(16) for f in df.schema), F.lit(16))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return r["n"], r["b"] or 0
+
+
+#: A side is broadcast up to this size, counted before.
+BROADCAST_BYTES = 16 << 20
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_BYTES, share: int = 256, salts: int = 32) -> DataFrame:
+    """Join, inner, left, left_semi or left_anti, where one key of left may hold a great part of its rows.
 
-    right is broadcast only when it has at most `bound` rows (counted first).
-    Beyond that its rows are repeated per salt and left is spread over the salts,
-    so a hot key is shared by `salts` tasks; the result is the same either way.
+    right is written to the shared folder, so it is computed once and counted;
+    it is broadcast only if it has at most `most` bytes.  Beyond that both
+    sides are sorted and merged.  Keys that hold more than 1 / `share` of left
+    are counted first (fewer than `share` by their definition); their rows are
+    spread over `salts` tasks and only their rows of right are repeated.  Rows
+    with a null key are spread as well.  The result is the same either way.
     """
-    if rows_up_to(right, bound) <= bound:
+    right = cut(right, "side")
+    if extent(right)[1] <= most:
         return left.join(F.broadcast(right), on, how)
-    salt = "__salt"
-    spread = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int"))
-    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, salt], how).drop(salt)
+    counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    counted = cut(counted.where(" and ".join(f"`{c}` is not null" for c in on)), "keys")
+    total = counted.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(counted.where(F.col("__n") * share > total).select(*on, F.lit(True).alias("__hot")))
+    null = functools.reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in on])
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
+    spread = left.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot") | null, spread).otherwise(0)).drop("__hot")
+    copies = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("__hot"), salts - 1).otherwise(0)))).drop("__hot")
+    return spread.join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def norm_key(c: Column | str) -> Column:
@@ -75,17 +126,23 @@ def norm_key(c: Column | str) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application."""
+    """Make this package importable in the Python workers, once per application; a cluster fetches it from the shared folder."""
+    import io
     import zipfile
     from pathlib import Path
 
     sc = spark.sparkContext
-    if getattr(sc, "_clausewright_shipped", False):
+    if is_local(spark) or getattr(sc, "_clausewright_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="clausewright-")) / "clausewright_pkg.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path(root.name) / p.relative_to(root))
-    sc.addPyFile(str(target))
+    target = f"{shared_dir(spark)}/clausewright_pkg.zip"
+    fs, path = _path(spark, target)
+    out = fs.create(path, True)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(target)
     sc._clausewright_shipped = True

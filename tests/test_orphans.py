@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from clausewright.operators.orphans import ForeignKey, direct_orphans, orphan_cascade, orphan_report
+from clausewright.session import join_checked
 
 T = [datetime(2024, m, 1) for m in range(1, 13)]
 FK = ForeignKey("child", "ref", "created_at", "parent")
@@ -18,7 +19,7 @@ def test_reasons(spark):
     children = [("a", " p1\t", T[3]), ("b", "p1", T[1]), ("c", "P2", T[3]), ("d", "p3", T[2]), ("e", "p4", T[0]), ("f", "p9", T[0]), ("g", None, T[0]), ("h", "  ", T[0]), ("i", "p1", None), ("j", "p9", None), ("k", "p5", T[1]), ("f", "p9", T[0])]
     want = {("b", "later"), ("c", "missing"), ("f", "missing"), ("j", "missing")}
     assert run(spark, children, parents) == want
-    assert run(spark, children, parents, broadcast_rows=0) == want  # the salted join
+    assert run(spark, children, parents, broadcast_bytes=0) == want  # the merged join
     assert run(spark, children, []) == {(c[0], "missing") for c in children if c[1] and c[1].strip()}
     assert run(spark, [], parents) == set()
 
@@ -32,3 +33,27 @@ def test_cascade_and_report(spark):
     out = orphan_cascade({"a": a, "b": b, "c": c, "root": root}, keys)
     assert {(r["row_id"], r["kind"], r["level"]) for r in out.collect()} == {("a1", "direct", 0), ("b3", "direct", 0), ("b1", "inherited", 1), ("c1", "inherited", 2)}
     assert {(r["table_name"], r["period"], r["kind"], r["orphans"]) for r in orphan_report(out).collect()} == {("a", "2024-02", "direct", 1), ("b", "2024-03", "direct", 1), ("b", "2024-03", "inherited", 1), ("c", "2024-04", "inherited", 1)}
+
+
+def test_many_parents_are_merged(spark):
+    parents = spark.range(600_000).selectExpr("concat('p', id) as id", "'ok' as status", "timestamp'2024-01-01' as created_at")
+    hot = spark.range(150_000).selectExpr("concat('c', id) as id", "if(id % 3 = 0, 'p7', concat('p', id * 5)) as ref", "timestamp'2024-02-01' as created_at")
+    j = direct_orphans(hot, parents, FK)
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert {r["row_id"] for r in j.collect()} == {f"c{i}" for i in range(150_000) if i % 3 and i * 5 >= 600_000}
+
+
+def test_null_keys_and_every_join_kind(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "k string, n int")
+    right = spark.createDataFrame([("a", "x"), ("c", "y")], "k string, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(str, left.join(right, "k", how).collect()))
+        assert sorted(map(str, join_checked(left, right, ["k"], how).collect())) == want
+        assert sorted(map(str, join_checked(left, right, ["k"], how, most=0).collect())) == want
+
+
+def test_cascade_has_no_last_level(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i - 1}", T[2], "ok") for i in range(12)], "id string, up string, created_at timestamp, status string")
+    out = orphan_cascade({"n": chain}, [ForeignKey("n", "up", "created_at", "n")]).collect()
+    assert {(r["row_id"], r["level"]) for r in out} == {(f"n{i}", i) for i in range(12)}
