@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from clausewright.llm.neardup import candidate_pairs, contents, expand_members, groups, jaccard, prefix_length, shingle_set, similar_contents, with_shingles
+from clausewright.llm.neardup import Forest, candidate_pairs, contents, expand_members, groups, jaccard, shingle_set, shortened, similar_contents, with_shingles
+from clausewright.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -27,16 +28,11 @@ def brute(rows):
     return {(x, y) for x, y in itertools.combinations(sorted(rows), 2) if max(jaccard(shingle_set(s, 3), shingle_set(t, 3)) for s, t in zip(rows[x], rows[y])) >= 0.5}
 
 
-@pytest.mark.parametrize("hot", [512, 1])
+@pytest.mark.parametrize("hot", [512, 3])
 def test_recall_and_precision(spark, rows, hot):
     df = spark.createDataFrame(rows, "id string, t string, q string").selectExpr("id", "t", "q", "1 as rid", "2 as key")
     docs, members = contents(df, "id", ["t", "q"])
-    pairs = similar_contents(docs, ["t", "q"], 0.5, 3, trees=48) if hot == 512 else None
-    if pairs is None:  # the join for hot prefixes finds at least what the sorted pass finds
-        a = {tuple(r) for r in candidate_pairs(docs, ["t", "q"], 0.5, 3, 24, 8, 0.75).collect()}
-        b = {tuple(r) for r in candidate_pairs(docs, ["t", "q"], 0.5, 3, 24, 8, 0.75, hot=1).collect()}
-        assert a <= b
-        return
+    pairs = cut(similar_contents(docs, ["t", "q"], 0.5, 3, hot=hot), "pairs")
     got = {tuple(r) for r in expand_members(pairs, members, "id", with_shingles(docs, ["t", "q"], 3)).collect()}
     want = brute(rows)
     assert got <= want and len(got) >= 0.95 * len(want)
@@ -45,10 +41,50 @@ def test_recall_and_precision(spark, rows, hot):
     assert len(g) == docs.count() and g["class_id"].nunique() < len(g)
 
 
-def test_prefix_is_shortened_to_the_target():
-    assert prefix_length(24, 8, 0.5, 0.75) == 4
-    assert prefix_length(24, 8, 0.5, 0.95) == 3
-    assert prefix_length(1, 8, 0.5, 0.99) == 1
+def test_nodes_over_the_bound_lose_nothing(spark):
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(120):  # all alike: nearly every node at the floor is over the bound
+        t = list(base)
+        t[r.randrange(60)] = f"x{k}"
+        rows.append((f"{k:03}", " ".join(t)))
+    docs, _ = contents(spark.createDataFrame(rows, "id string, t string"), "id", ["t"])
+    forest = Forest(0.5)
+    plain, hot = ({(p["a"], p["b"], p["level"], p["differ"]) for p in candidate_pairs(docs, ["t"], 3, forest, hot=h).collect()} for h in (1000, 8))
+    assert plain == hot and len(plain) == 120 * 119 / 2
+
+
+def test_recall_at_the_threshold(spark):
+    rows, want = [], set()
+    for k in range(300):  # pairs barely over the threshold
+        t = [f"a{k}i{i}" for i in range(48)]
+        u = list(t)
+        for i in range(5):
+            u[7 * i + 4] = f"b{k}i{i}"
+        assert 0.5 <= jaccard(shingle_set(" ".join(t), 3), shingle_set(" ".join(u), 3)) <= 0.56
+        want.add((f"{k}a", f"{k}b"))
+        rows += [(f"{k}a", " ".join(t)), (f"{k}b", " ".join(u))]
+    docs, members = contents(spark.createDataFrame(rows, "id string, t string"), "id", ["t"])
+    got = {tuple(r) for r in expand_members(similar_contents(docs, ["t"], 0.5, 3), members, "id", docs.select("rid")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_prefix_is_shortened_to_the_target(spark):
+    f = Forest(0.5)
+    assert f.floor == 3 and f.recall(0.5, 3) >= 0.9 > f.recall(0.5, 4)
+    assert Forest(0.8).floor > 3
+    pairs = lambda *rows: spark.createDataFrame(rows, "a long, b long, level int, differ int")
+    assert shortened(pairs(*[(i, i + 1, 6, 2) for i in range(50)]), f, 0.99) == 6  # all nearly equal: full depth finds them
+    assert shortened(pairs(*[(i, i + 1, 3 + i % 4, 15) for i in range(50)]), f, 0.99) == 3
+    assert shortened(pairs(), f, 0.99) == 3
+
+
+def test_labels_of_long_chains(spark):
+    n = 200
+    docs = spark.range(n).selectExpr("id as rid")
+    g = groups(spark.range(n - 1).selectExpr("id as a", "id + 1 as b"), docs).collect()
+    assert {r["class_id"] for r in g} == {0} and sorted(r["links"] for r in g) == [1, 1, *[2] * (n - 2)]
 
 
 def test_empty(spark):
