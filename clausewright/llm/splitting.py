@@ -7,11 +7,12 @@ The set of reached nodes doubles in depth with each squaring, so all greedy
 cuts come out after log2(pieces) steps, in parallel for all texts of an Arrow
 batch.  A text's boundaries never leave its row, so nothing is shuffled.
 
-A piece ends after a paragraph break if the piece would be at least half
-full, else after a sentence, a line or a word, whichever kind occurs first in
-this order in the window; only where the window has none, at the size limit.
-Every piece but the first begins exactly `overlap` characters before the end
-of the piece before it.
+A piece ends after a paragraph break, else a sentence, else a line, if the
+piece is then at least half full, else after the last word that fits; only
+where the window has none, at the size limit.  A first piece that ends after a
+word is longer than the overlap, so no piece holds the one before it whole,
+and every piece but the first begins exactly `overlap` characters before the
+end of the piece before it.
 
 Defined results: null gives no piece; an empty text and a text within the
 limit are one piece as they are; repeated rows give their pieces once;
@@ -91,7 +92,7 @@ def cut_points(texts: list[str], limit: int, overlap: int) -> list[np.ndarray]:
             continue
         j = np.searchsorted(of_kind, succ, side="right") - 1
         node = np.where(j >= 0, of_kind[np.maximum(j, 0)], -1)
-        least = start + limit // 2 if k == 0 else at
+        least = np.maximum(at, start + (limit // 2 if k < 3 else overlap))
         ok = (chosen < 0) & (node > index) & (at[np.maximum(node, 0)] > least)
         chosen = np.where(ok, node, chosen)
     jump = np.where(chosen < 0, np.maximum(succ, np.minimum(index + 1, last)), chosen)

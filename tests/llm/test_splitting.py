@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -16,7 +17,7 @@ def greedy(text, limit, overlap):
             break
         best = None
         for k in range(4):
-            c = [p for p, q in zip(at, kind) if q == k and max(end, start + limit // 2 if k == 0 else end) < p <= start + limit]
+            c = [p for p, q in zip(at, kind) if q == k and max(end, start + (limit // 2 if k < 3 else overlap)) < p <= start + limit]
             if c:
                 best = max(c)
                 break
@@ -56,3 +57,13 @@ def test_pieces(spark):
     assert set(p[p["piece"] == 0]["id"]) == set("acdef")
     with pytest.raises(ValueError):
         split_oversized(spark.createDataFrame(rows, "id string, text string, page int"), "text", ["id"], 10, 10)
+
+
+def test_an_early_sentence_end_makes_no_short_piece():
+    text = "a. " + "word " * 2000
+    ends = cut_points([text], 1800, 250)[0].tolist()
+    begins = [0, *(e - 250 for e in ends[:-1])]
+    assert all(900 <= e - b <= 1800 for b, e in zip(begins[:-1], ends)) and all(x < y for x, y in itertools.pairwise(begins))
+    assert len(ends) <= 2 + len(text) // 1545
+    one = cut_points(["ab " + "x" * 5000], 1800, 250)[0].tolist()
+    assert one[0] == 1800 and one[-1] == 5003
