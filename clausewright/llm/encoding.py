@@ -16,7 +16,8 @@ over all texts; there are at most as many as Unicode has characters.
 
 Defined results: null and empty texts are sound; sound text in any language is
 left as it is; lost characters (U+FFFD) mark a text as damaged but stay; a
-text that also holds lost characters is restored where possible.
+text that also holds lost characters is restored where possible.  Text of one
+single-byte encoding read as another is not told from sound text.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 # The encodings as which UTF-8 is mistaken, and those mistaken twice.
 PAIRS = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859-15"]
-TWICE = ["cp1252", "latin-1", "mac_roman"]
+TWICE = PAIRS
 LOST = "�"
 
 
@@ -78,7 +79,6 @@ def _decode(run: str, encoding: str) -> str | None:
 
 
 _FINDERS = {e: re.compile(_sequence(e)) for e in PAIRS}
-_TWICE_FINDERS = {e: re.compile(f"(?:{_sequence(e)}){{2,3}}") for e in TWICE}
 
 
 def _units(text: str, i: int, state: str) -> list[tuple[int, str]]:
@@ -89,7 +89,7 @@ def _units(text: str, i: int, state: str) -> list[tuple[int, str]]:
         d = _decode(m.group(), enc) if m else None
         return [(m.end() - i, d)] if d and len(d) == 1 else []
     out = []
-    for n in range(4, 10):
+    for n in range(4, 13):  # two to four characters of two or three bytes each
         once = _decode(text[i : i + n], enc) if i + n <= len(text) else None
         if once and 2 <= len(once) <= 4:
             d = _decode(once, enc)

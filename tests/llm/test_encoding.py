@@ -15,6 +15,7 @@ def repaired(spark):
     rows = [(i, t) for i, t in enumerate(SOUND)]
     rows += [(100 + k, garble("Die Prüfung “Größe” – é ≤ 5 Ω", e)) for k, e in enumerate(ENC)]
     rows += [(200, garble(garble("Prüfung é – ñ", "cp1252"), "cp1252")), (201, "Pr�fung"), (202, garble("é", "cp1252") + " and �")]
+    rows += [(300 + k, garble(garble("Prüfung 🙂 – ñ", e), e)) for k, e in enumerate(ENC)]
     df = spark.createDataFrame(rows + rows[-1:], "id int, text string").selectExpr("id", "text", "1 as restored", "2 as lost")
     return {r["id"]: r for r in repair_encoding(df, "text", ["id"]).distinct().collect()}
 
@@ -34,5 +35,10 @@ def test_twice_and_lost(repaired):
     assert repaired[202]["lost"] and repaired[202]["restored"] == "é and �"
 
 
+@pytest.mark.parametrize("k", range(len(ENC)))
+def test_four_bytes_twice(repaired, k):
+    assert repaired[300 + k]["restored"] == "Prüfung 🙂 – ñ"
+
+
 def test_empty(spark):
     assert repair_encoding(spark.createDataFrame([], "id int, text string"), "text", ["id"]).count() == 0
