@@ -126,13 +126,13 @@ def norm_key(c: Column | str) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application; a cluster fetches it from the shared folder."""
+    """Make this package importable in the Python workers, once per application; executors fetch it from the shared folder."""
     import io
     import zipfile
     from pathlib import Path
 
     sc = spark.sparkContext
-    if is_local(spark) or getattr(sc, "_clausewright_shipped", False):
+    if getattr(sc, "_clausewright_shipped", False):
         return
     root = Path(__file__).resolve().parent
     packed = io.BytesIO()
