@@ -4,16 +4,16 @@ Method.  Correction candidates for the distinct words come from an inverted
 join over character q-grams; gradient-boosted trees rank them and choose the
 replacements.  Pairs of lines are classified by two further boosted models:
 whether a mark at a line end splits a word (over the distinct pairs of
-fragments), and whether a line is furniture (a running header or a page
-number) between its neighbours.
+fragments, those that furniture keeps apart included), and whether a line is
+furniture (a running header or a page number) between its neighbours.
 
 All models are trained here on damage simulated in a bounded sample of the
 rows (`sample_rows`); word counts, candidates and decisions cover all rows.
 
 Defined results: null and empty texts have no findings; texts without line
-ends can only have misread words; words with characters outside ASCII, words
-over 30 characters and codes (less than half letters) are never replaced;
-a mark at a line end inside a designation (61850-, 9-2) joins nothing;
+ends can only have misread words; codes (less than half letters) and words of
+one or two characters are never replaced; the first and the last line of a
+text interrupt nothing and are never furniture; a mark at a line end inside a designation (61850-, 9-2) joins nothing;
 repeated rows give their findings once.
 """
 
@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,8 +49,8 @@ def words(text: Column) -> Column:
 
 
 def _usable(w: Column) -> Column:
-    letters = F.length(F.regexp_replace(w, "[^a-z]", ""))
-    return F.length(w).between(3, 30) & w.rlike("^[a-z0-9@!|]+$") & (letters * 2 >= F.length(w))
+    letters = F.length(F.regexp_replace(w, r"[^\p{L}]", ""))
+    return (F.length(w) >= 3) & w.rlike(r"^[\p{L}\p{N}@!|]+$") & (letters * 2 >= F.length(w))
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
@@ -64,6 +64,35 @@ def _grams(w: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.struct(F.substr(padded, i, F.lit(2)).alias("g"), i.cast("int").alias("at")))
 
 
+def _least_shared(length: Column) -> Column:
+    """How many grams a word must share with a target of this length."""
+    return F.greatest(F.lit(2), F.ceil((length + 1) * 0.4))
+
+
+def _shared(word: str, target: str) -> int:
+    """Distinct grams of the word that the target has at the same place or one beside it."""
+    at = {(t[i : i + 2], i) for t in (f"^{target}$",) for i in range(len(target) + 1)}
+    w = f"^{word}$"
+    return len({w[i : i + 2] for i in range(len(word) + 1) if any((w[i : i + 2], i + d) in at for d in (-1, 0, 1))})
+
+
+def _index(trusted: DataFrame) -> DataFrame:
+    """(g, at, len, target, m): the inverted index of the targets, by gram, place and length of the words to look up.
+
+    A word that shares enough grams with a target shares one of any selection
+    that leaves out fewer than it must share, so the commonest grams of each
+    target are left out, which loses nothing.
+    """
+    t = trusted.select(F.col("word").alias("target"), F.col("n").alias("m"), F.explode(_grams(F.col("word"))).alias("q")).select("target", "m", "q.g", "q.at")
+    often = t.select("target", "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("often"))
+    of = t.join(often.hint("merge"), "g").groupBy("target", "m", "g", "often").agg(F.collect_list("at").alias("places"))
+    kinds = Window.partitionBy("target")
+    of = of.withColumn("rank", F.row_number().over(kinds.orderBy("often", "g"))).withColumn("kinds", F.count(F.lit(1)).over(kinds))
+    kept = of.where(F.col("rank") <= F.col("kinds") - _least_shared(F.length("target")) + 1)
+    near = kept.select("target", "m", "g", F.explode(F.array_distinct(F.flatten(F.transform("places", lambda i: F.array(i - 1, i, i + 1))))).alias("at"))
+    return near.select("g", "at", F.explode(F.sequence(F.length("target") - 2, F.length("target") + 2)).alias("len"), "target", "m")
+
+
 _FEATURES = 7
 
 
@@ -148,15 +177,18 @@ def corrections(counts: DataFrame, ratio: int = 10, sample_words: int = 2000, le
     so a right word in fewer than `ratio` texts corrects nothing.  The ranker
     is fitted on the `sample_words` most frequent words.
     """
-    trusted = counts.where(F.col("word").rlike("^[a-z]+$") & (F.col("n") >= least))
-    top = [(r["word"], r["n"]) for r in trusted.orderBy(F.desc("n"), "word").limit(sample_words).collect()]
+    trusted = counts.where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") >= least))
+    top = [(r["word"], r["n"]) for r in trusted.where(F.col("word").rlike("^[a-z]+$")).orderBy(F.desc("n"), "word").limit(sample_words).collect()]
     model = _ranker(top)
-    suspects = counts.select("word", "n", F.length("word").alias("len"), F.explode(_grams(F.col("word"))).alias("q")).select("word", "n", "len", "q.g", "q.at")
-    targets = trusted.select(F.col("word").alias("target"), F.col("n").alias("m"), F.length("word").alias("tlen"), F.explode(_grams(F.col("word"))).alias("q"))
-    targets = targets.select("target", "m", "tlen", "q.g", F.explode(F.array(F.col("q.at") - 1, F.col("q.at"), F.col("q.at") + 1)).alias("at"))
-    near = (F.abs(F.col("len") - F.col("tlen")) <= 2) & (F.col("m") >= ratio * F.col("n"))
-    found = suspects.join(targets, ["g", "at"]).where(near).groupBy("word", "n", "target", "m", "tlen").agg(F.count_distinct("g").alias("shared"))
-    found = found.where(F.col("shared") >= F.greatest(F.lit(2), (F.col("tlen") + 1) * 0.4))
+    suspects = counts.where(F.col("n") * ratio <= (top[0][1] if top else 0)).select("word", "n", F.length("word").alias("len"), F.explode(_grams(F.col("word"))).alias("q")).select("word", "n", "len", "q.g", "q.at")
+    found = join_checked(suspects, _index(trusted), ["g", "at", "len"]).where(F.col("m") >= ratio * F.col("n"))
+    found = found.groupBy("word", "n", "target", "m").agg(F.lit(True).alias("__any")).drop("__any")
+
+    @F.pandas_udf(T.IntegerType())
+    def common(word: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([_shared(w, t) for w, t in zip(word, target, strict=True)], dtype="int32")
+
+    found = found.withColumn("shared", common("word", "target")).where(F.col("shared") >= _least_shared(F.length("target")))
 
     @F.pandas_udf(T.DoubleType())
     def score(word: pd.Series, n: pd.Series, target: pd.Series, m: pd.Series, shared: pd.Series) -> pd.Series:
@@ -196,10 +228,14 @@ def _joiner(vocabulary: list[tuple[str, int]], seed: int = 11) -> BoostedTrees:
     return BoostedTrees(trees=25).fit(np.array(x, dtype=float), np.array(y, dtype=float))
 
 
-def split_words(df: DataFrame, text: str, keys: list[str], counts: DataFrame, sample_words: int = 2000) -> DataFrame:
-    """keys + (left, right): the fragments of words that a mark splits at a line end."""
-    pairs = df.where(F.col(text).contains("\n")).select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_SPLIT), 0))).alias("__p"))
-    pairs = pairs.select(*keys, F.regexp_extract("__p", _SPLIT, 1).alias("left"), F.regexp_extract("__p", _SPLIT, 2).alias("right"))
+def split_words(df: DataFrame, text: str, keys: list[str], counts: DataFrame, freed: DataFrame, sample_words: int = 2000) -> DataFrame:
+    """keys + (left, right): the fragments of words that a mark splits at a line end.
+
+    freed: keys + text of the records that had furniture, without it; a word may be split around such a line.
+    """
+    lines = df.select(*keys, text).unionByName(freed.select(*keys, text)).where(F.col(text).contains("\n"))
+    pairs = lines.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_SPLIT), 0))).alias("__p"))
+    pairs = pairs.select(*keys, F.regexp_extract("__p", _SPLIT, 1).alias("left"), F.regexp_extract("__p", _SPLIT, 2).alias("right")).distinct()
     dashed = df.where(F.col(text).contains("-")).select(F.explode(F.split(F.lower(text), r"[^\p{L}-]+")).alias("d")).where(F.col("d").contains("-")).groupBy("d").agg(F.count(F.lit(1)).alias("dashed"))
     kinds = pairs.select("left", "right").distinct()
     n = lambda c, name: counts.select(F.col("word").alias(c), F.col("n").alias(name))
@@ -220,6 +256,7 @@ def split_words(df: DataFrame, text: str, keys: list[str], counts: DataFrame, sa
 
 # ---------------------------------------------------------------- furniture
 _PAGE = re.compile(r"^\W*(?:[^\W\d_]{1,6}\.?\s*)?\d{1,5}(?:\s*(?:/|[^\W\d_]{1,3})\s*\d{1,5})?\W*$")
+_NUMBERED = re.compile(r"^\(?(?:\d{1,3}|[a-z])[.)]\s+[^\W\d_]")
 _OPEN_DESIGNATION = re.compile(rf"\d[{MARKS}]\s*$")
 _LINES = re.compile(r"\r?\n")
 
@@ -244,6 +281,8 @@ def _line_features(line: str, before: str, after: str) -> list[float]:
         float("|" in p or "|" in a or "...." in p or "...." in a),
         float(not p) + float(not a),
         float(s[-1:] in MARKS),
+        float(sum(s.count(x) for x in (". ", "; ", ", "))),
+        float(bool(_NUMBERED.match(s))),
     ]
 
 
@@ -253,7 +292,13 @@ def _page_form(r: random.Random) -> str:
 
 
 def _header_form(r: random.Random, names: list[str]) -> str:
-    title = lambda k: " ".join(r.choice(names).capitalize() for _ in range(k))
+
+    def title(k: int) -> str:
+        words = [r.choice(names).capitalize() for _ in range(k)]
+        if k > 1 and r.random() < 0.4:
+            words.insert(k - 1, r.choice(["and", "of", "for", "to", "und"]))
+        return " ".join(words)
+
     code = f"{''.join(r.choice('ABCDEFGHKLMNPQRSTVX') for _ in range(r.randint(1, 3)))}-{r.randint(10, 99999)}"
     h = r.choice([f"{title(r.randint(1, 2))} {code} | {title(r.randint(1, 3))}", f"{title(1)} {r.choice(['I', 'II', 'III', 'IV', 'V', '2', '3'])} {title(r.randint(1, 3))}", f"{title(r.randint(2, 4))} {code}", f"{title(1)} {code} – {title(2)}"])
     if r.random() < 0.3:
@@ -273,7 +318,7 @@ def _furniture_model(texts: list[str], seed: int = 5) -> BoostedTrees:
             ws = t.split(" ")
             w = r.randint(6, 14)
             lines = [" ".join(ws[i : i + w]) for i in range(0, len(ws), w)]
-        for i in r.sample(range(len(lines)), min(4, len(lines))):
+        for i in r.sample(range(len(lines)), min(10, len(lines))):
             if lines[i].strip():
                 x.append(_line_features(lines[i], lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else ""))
                 y.append(0)
@@ -293,7 +338,7 @@ def _furniture_model(texts: list[str], seed: int = 5) -> BoostedTrees:
                 x.append(_line_features(seq[k], seq[k - 1], seq[k + 1]))
                 y.append(1)
     if not x:
-        x, y = [[0.0] * 14], [0]
+        x, y = [[0.0] * 16], [0]
     xs, ys = np.array(x, dtype=float), np.array(y, dtype=float)
     first = BoostedTrees(trees=30, depth=3).fit(xs, ys)
     # the sampled rows hold real furniture too: what a first model takes for it is left out of the negatives
@@ -309,7 +354,7 @@ def _furniture_lines(texts: list[str], model: BoostedTrees) -> list[list[int]]:
         lines = _LINES.split(t)
         for i, line in enumerate(lines):
             s = line.strip()
-            if 0 < i < len(lines) - 1 and s and len(s) <= 120 and s[-1] not in ".;:,":
+            if 0 < i < len(lines) - 1 and s:
                 if not (s[0].islower() and not _PAGE.match(s) or s[-1] in MARKS and s[-2:-1].isalnum()):
                     if _OPEN_DESIGNATION.search(lines[i - 1]):
                         continue
@@ -323,24 +368,30 @@ def _furniture_lines(texts: list[str], model: BoostedTrees) -> list[list[int]]:
     return out
 
 
+def _without(text: str, lines: Iterable[int]) -> str:
+    gone = set(lines)
+    return "\n".join(x for i, x in enumerate(_LINES.split(text)) if i not in gone)
+
+
 def furniture_model(df: DataFrame, text: str, sample_rows: int = 3000) -> BoostedTrees:
     """Fitted on at most sample_rows rows, chosen by the hash of the text, in expectation as many of each part of the data."""
     t = df.select(F.col(text).alias("t")).where(F.char_length("t") > 0)
     share = min(1.0, sample_rows / max(1, t.count()))
-    chosen = t.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < F.lit(share * 1_000_000))
-    texts = sorted(r["t"] for r in chosen.limit(2 * sample_rows).collect())
-    return _furniture_model(texts[:sample_rows])
+    place = F.pmod(F.xxhash64("t"), F.lit(1_000_000))
+    chosen = t.where(place < F.lit(share * 1_000_000)).orderBy(place, "t").limit(sample_rows)
+    return _furniture_model(sorted(r["t"] for r in chosen.collect()))
 
 
 def furniture(df: DataFrame, text: str, keys: list[str], model: BoostedTrees) -> DataFrame:
-    """keys + (lines): the numbers of the furniture lines of the texts that have any."""
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("lines", T.ArrayType(T.IntegerType()))])
+    """keys + (lines, text): the numbers of the furniture lines of the texts that have any, and the text without them."""
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("lines", T.ArrayType(T.IntegerType())), T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = _furniture_lines(b[text].tolist(), model)
             o = b[keys].copy()
             o["lines"] = found
+            o[text] = [_without(t, f) if f else None for t, f in zip(b[text], found, strict=True)]
             yield o[[bool(f) for f in found]]
 
     return df.where(F.col(text).contains("\n")).select(*keys, text).mapInPandas(run, schema)
@@ -353,9 +404,10 @@ def scan_findings(df: DataFrame, text: str, keys: list[str], sample_rows: int =
     counts = cut(word_counts(base, text), "word-counts")
     wrong = cut(corrections(counts), "corrections")
     tokens = base.select(*keys, F.explode(words(F.col(text))).alias("word"))
+    lines = cut(furniture(base, text, keys, furniture_model(base, text, sample_rows)), "furniture")
     return {
-        "furniture": furniture(base, text, keys, furniture_model(base, text, sample_rows)),
-        "splits": split_words(base, text, keys, counts),
+        "furniture": lines.select(*keys, "lines"),
+        "splits": split_words(base, text, keys, counts, lines),
         "misread": join_checked(tokens, wrong, ["word"]),
     }
 
@@ -377,16 +429,15 @@ def repair_scans(df: DataFrame, text: str, keys: list[str], sample_rows: int = 3
     hurt = joined.where("__f is not null or __s is not null or __m is not null")
     schema = T.StructType([*[base.schema[k] for k in keys], T.StructField("clean_text", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("furniture", "splits", "misread")]])
     listed = lambda v: [] if v is None else list(v)
-    token = re.compile(r"[A-Za-z0-9@!|]*[A-Za-z][A-Za-z0-9@!|]*")
+    token = re.compile(r"(?:[^\W_]|[@!|])+")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out, nf, ns, nm = [], [], [], []
             for t, fl, sl, ml in zip(b[text], b["__f"], b["__s"], b["__m"], strict=True):
                 fl, sl, ml = listed(fl), {tuple(x.split("\t")) for x in listed(sl)}, dict(x.split("\t") for x in listed(ml))
-                gone = set(fl)
-                t = "\n".join(x for i, x in enumerate(_LINES.split(t)) if i not in gone)
-                t = _SPLIT_PY.sub(lambda m: m[1] + m[2] if (m[1], m[2]) in sl or fl else m[0], t)
+                t = _without(t, fl)
+                t = _SPLIT_PY.sub(lambda m: m[1] + m[2] if (m[1], m[2]) in sl else m[0], t)
                 t = "\n\n".join(re.sub(r"(?<![\n])\n(?!\n|\s*(?:\d+[.)]|[-•*])\s)[ \t]*", " ", p) if "...." not in p and " | " not in p else p for p in re.split(r"\n[ \t]*\n", t))
                 out.append(token.sub(lambda m: _cased(m[0], ml[m[0].lower()]) if m[0].lower() in ml else m[0], t))
                 nf.append(len(fl))
