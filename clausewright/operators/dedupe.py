@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausewright.functions.fixed import IDENTITY_REPAIRS, PROTECTED
 from clausewright.functions.text import fold
+from clausewright.session import cut, join_checked, rows_up_to
 
 
 def keep_first(df: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
@@ -24,50 +30,107 @@ def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def identity_text(c: Column) -> Column:
-    """Folded, everything but letters and digits to one space."""
-    return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
+    """Folded, usual misreadings repaired, everything but letters and digits to one space."""
+    repaired = reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), IDENTITY_REPAIRS, fold(c))
+    return F.trim(F.regexp_replace(repaired, "[^a-z0-9]+", " "))
 
 
 def material_key(identity: Column) -> Column:
     """Numbers and standards in order; texts with different ones are never duplicates."""
-    return F.array_join(F.regexp_extract_all(identity, F.lit(r"\b(?:\d+(?:\.\d+)?|iec|ieee|ansi|iso|dnp3|modbus)\b"), 0), ",")
+    return F.array_join(F.regexp_extract_all(identity, F.lit(rf"\b(?:{PROTECTED})\b"), 0), ",")
+
+
+def in_blocks(df: DataFrame, group: list[str], unit: str, size: int) -> DataFrame:
+    """df + (__own, __lo, __hi): the rows of a group in blocks of about `size`, each repeated for every pair of blocks it is in."""
+    counted = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__blocks"))
+    d = join_checked(df, counted, group).withColumn("__own", F.pmod(F.xxhash64(unit), F.col("__blocks")).cast("int"))
+    d = d.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    return d.withColumn("__lo", F.least("__own", "__other")).withColumn("__hi", F.greatest("__own", "__other")).drop("__other", "__blocks")
+
+
+def near_pairs(df: DataFrame, group: list[str], key: str, seq: list[str], identity: str, length_ratio: float = 0.9, ratio: float = 0.965, size: int = 256) -> DataFrame:
+    """(first, second): rows of a group, in order, whose identities resemble each other; groups are compared in pairs of blocks.
+
+    Rows meet in the classes of their length and of the next one, which holds
+    all lengths that the ratio allows.  Cheap upper bounds (length, characters
+    in common) come before the sequence matcher.
+    """
+    width = -math.log(length_ratio)
+    own = F.floor(F.log(F.length(identity).cast("double")) / width).cast("int")
+    d = df.select(*group, key, F.struct(*seq, key).alias("__at"), F.col(identity).alias("__t"), own.alias("__l"))
+    d = d.withColumn("__class", F.explode(F.array("__l", F.col("__l") + 1)))
+    d = in_blocks(d, [*group, "__class"], key, size).withColumn("__g", F.xxhash64(*group, "__class", "__lo", "__hi"))
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField("first", kind), T.StructField("second", kind)])
+    names = [*group, "__class", "__lo", "__hi"]
+
+    def compare(g: pd.DataFrame) -> Iterator[tuple]:
+        rows = list(zip(g[key], g["__t"], [Counter(t) for t in g["__t"]], g["__own"], g["__l"], strict=True))
+        lo, hi, cls = g["__lo"].iloc[0], g["__hi"].iloc[0], g["__class"].iloc[0]
+        for j, (k2, t2, b2, o2, l2) in enumerate(rows):
+            for k1, t1, b1, o1, l1 in rows[:j]:
+                if (min(o1, o2), max(o1, o2)) != (lo, hi) or max(l1, l2) != cls:
+                    continue
+                total = len(t1) + len(t2)
+                if min(len(t1), len(t2)) < length_ratio * max(len(t1), len(t2)) or 2 * sum((b1 & b2).values()) < ratio * total:
+                    continue
+                if difflib.SequenceMatcher(None, t2, t1).ratio() >= ratio:
+                    yield k1, k2
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
+                if rest.empty:
+                    continue
+                last = int((rest["__g"] != rest["__g"].iloc[-1]).sum())
+                whole, rest = rest.iloc[:last], rest.iloc[last:]
+            elif rest is None:
+                return
+            else:
+                whole = rest
+            pairs = [p for _, g in whole.groupby("__g", sort=False) for _, h in g.groupby(names, sort=False, dropna=False) for p in compare(h)]
+            if pairs:
+                yield pd.DataFrame(pairs, columns=["first", "second"])
+
+    d = d.select(*names, "__g", "__own", "__l", key, "__t", "__at").repartition("__g").sortWithinPartitions("__g", "__at")
+    return d.drop("__at").mapInPandas(run, schema).distinct()
 
 
 def greedy_near_duplicates(df: DataFrame, block: list[str], text: str, seq: list[str], key: str, length_ratio: float = 0.9, ratio: float = 0.965) -> DataFrame:
-    """df keys + (kept, of): each row in order is dropped if it resembles one kept before.
+    """(key, kept, of): each row of a block in order is dropped if it resembles one kept before; of: the first such.
 
-    Runs per (block, material key), which loses nothing, since rows of
-    different material keys never match.  Within a block cheap upper bounds
-    (length, characters in common) come before the sequence matcher.
+    Equal identities fall to the first of them without comparison.  The rest is
+    compared within its material key, which loses nothing, and the order is
+    followed in rounds: a row is kept when all rows before it that it resembles
+    are dropped, and dropped when one of them is kept.  key must be unique.
     """
-    base = df.withColumn("__t", identity_text(F.col(text))).withColumn("__m", material_key(F.col("__t")))
-    schema = T.StructType([df.schema[key], T.StructField("kept", T.BooleanType()), T.StructField("of", df.schema[key].dataType)])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([*seq, key], kind="stable")
-        kept: list[tuple[object, str, Counter]] = []
-        exact: dict[str, object] = {}
-        rows = []
-        for k, t in zip(g[key], g["__t"], strict=True):
-            like = exact.get(t)
-            bag = Counter(t)
-            if like is None:
-                for k2, t2, bag2 in kept:
-                    total = len(t) + len(t2)
-                    if min(len(t), len(t2)) < length_ratio * max(len(t), len(t2), 1):
-                        continue
-                    if 2 * sum((bag & bag2).values()) < ratio * total:
-                        continue
-                    if difflib.SequenceMatcher(None, t, t2).ratio() >= ratio:
-                        like = k2
-                        break
-            if like is None:
-                kept.append((k, t, bag))
-                exact[t] = k
-            rows.append((k, like is None, like))
-        return pd.DataFrame(rows, columns=[key, "kept", "of"])
-
-    return base.select(*block, *seq, key, "__t", "__m").groupBy(*block, "__m").applyInPandas(run, schema)
+    at = F.struct(*seq, key)
+    base = df.select(*block, *seq, key, identity_text(F.col(text)).alias("__t")).withColumn("__m", material_key(F.col("__t")))
+    base = base.where("__t is not null and __t != ''").withColumn("__k", F.sha2(F.to_json(F.struct(*block, "__t")), 256))
+    base = cut(base, "identities")
+    reps = cut(base.groupBy("__k").agg(F.min_by(F.struct(*block, "__m", "__t", *seq, key), at).alias("r")).select("__k", "r.*"), "firsts")
+    group = [*block, "__m"]
+    named = reps.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in block})
+    pairs = cut(near_pairs(named, group, key, seq, "__t", length_ratio, ratio), "near")
+    open_, dropped = pairs, None
+    for n in itertools.count():
+        # rows that nothing open stands before are kept; what resembles them is dropped
+        kept = open_.select(F.col("first").alias("k")).distinct().join(open_.select(F.col("second").alias("k")).distinct(), "k", "left_anti")
+        gone = cut(open_.join(kept.withColumnRenamed("k", "first"), "first", "left_semi"), f"gone-{n}")
+        if not rows_up_to(gone, 0):
+            break
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        out = gone.select(F.col("second").alias("k")).distinct()
+        open_ = open_.join(out.withColumnRenamed("k", "second"), "second", "left_anti").join(out.withColumnRenamed("k", "first"), "first", "left_anti")
+        open_ = cut(open_.join(kept.withColumnRenamed("k", "first"), "first", "left_anti"), f"open-{n}")
+    order = reps.select(F.col(key).alias("first"), F.struct(*seq, key).alias("__at"))
+    dropped = pairs.where("false") if dropped is None else dropped
+    of = dropped.join(order, "first").groupBy(F.col("second").alias("__first")).agg(F.min_by("first", "__at").alias("__of"))
+    each = join_checked(base.select("__k", key), reps.select("__k", F.col(key).alias("__first")), ["__k"])
+    j = each.join(of, "__first", "left")
+    return j.select(key, ((F.col(key) == F.col("__first")) & F.col("__of").isNull()).alias("kept"), F.coalesce("__of", F.when(F.col(key) != F.col("__first"), F.col("__first"))).alias("of"))
 
 
 def positional_match(new: DataFrame, old: DataFrame, key: list[str], order_new: list[str], order_old: list[str]) -> DataFrame:

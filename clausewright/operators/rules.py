@@ -5,23 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clausewright.functions.fixed import CATEGORIES as CATEGORY
 from clausewright.functions.text import any_word, has
 
-# Categories with their words, first match wins.
-CATEGORY = [
-    ("Testing", ["test", "testing", "fat", "commissioning"]),
-    ("Documentation", ["document", "drawing", "manual", "report", "submit"]),
-    ("Communications", ["scada", r"iec\s*61850", "dnp3", "modbus", "ethernet", "fiber", "communication"]),
-    ("Panel Construction", ["panel", "enclosure", "wiring", "terminal", "nameplate"]),
-    ("Protection and Control", ["relay", "protection", "trip", "breaker", "interlock", "bus", "feeder"]),
-    ("Electrical Interface", ["ct", "vt", "current", "voltage", "dc", "battery", "burden", "contact", "input", "output"]),
-]
 # Lanes of the evidence scopes; all others go to the engineer.
 LANES = {"product_manual": "product", "hybrid": "product", "test_report": "testing", "engineering_deliverable": "deliverables", "system_design": "design"}
 
 
-def first_match(text: Column, rules: list[tuple[str, list[str]]], default: str) -> Column:
-    """The label of the first rule one of whose words occurs."""
+def first_match(text: Column, rules: list[tuple[str, str]], default: str) -> Column:
+    """The label of the first rule one of whose alternatives occurs."""
     out = None
     for label, words in rules:
         cond = has(text, any_word(words))

@@ -1,56 +1,36 @@
-"""Page sources: a Python data source for paged text files, blocks, layout tables, and fixed chunks."""
+"""Page sources: paged text files, layout, blocks, tables, and fixed chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-PAGE_SCHEMA = "file_name string, page_number int, text string"
-
-
-class PagedTextSource(DataSource):
-    """Text files whose pages are parted by form feeds; one partition per file, empty pages skipped."""
-
-    @classmethod
-    def name(cls) -> str:
-        """Name for spark.read.format."""
-        return "paged_text"
-
-    def schema(self) -> str:
-        """Rows are pages."""
-        return PAGE_SCHEMA
-
-    def reader(self, schema: object) -> DataSourceReader:
-        """Reader of the files that the path option matches."""
-        return PagedTextReader(self.options["path"])
 
 
-class PagedTextReader(DataSourceReader):
-    """Reads one file per partition."""
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, page_number, text) of text files whose pages are parted by form feeds, from any path Spark can read.
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    Empty pages are skipped; a file without any text is an error when it is read.
+    """
+    f = spark.read.format("binaryFile").load(path)
+    f = f.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("path"), F.split(F.decode("content", "UTF-8"), "\f").alias("pages"))
+    some = F.exists("pages", lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")
+    f = f.select("file_name", F.when(some, F.col("pages")).otherwise(F.raise_error(F.concat(F.lit("no text in "), "path")).cast("array<string>")).alias("pages"))
+    return f.select("file_name", F.posexplode("pages").alias("n", "text")).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("file_name", (F.col("n") + 1).alias("page_number"), "text")
 
-    def partitions(self) -> list[InputPartition]:
-        """One per file."""
-        import glob
 
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
+def layout_merged(pages: DataFrame, layout: DataFrame, on: list[str], least: int = 20) -> DataFrame:
+    """pages with the text of the layout pages (on + text, ocr) where that was recognised anew and is long enough (S2, J1); all pages stay."""
+    t = F.trim(F.col("__text"))
+    anew = F.coalesce(F.col("__ocr"), F.lit(False)) & (F.length(t) >= least)
+    j = pages.join(layout.select(*on, F.col("text").alias("__text"), F.col("ocr").alias("__ocr")), on, "left")
+    return j.select(*[F.when(anew, t).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in pages.columns], anew.alias("ocr_applied"))
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        """The pages of a file; a file without any text is an error."""
-        import os
 
-        with open(partition.value, encoding="utf-8") as f:
-            pages = f.read().split("\f")
-        if not any(p.strip() for p in pages):
-            raise ValueError(f"no text in {partition.value}")
-        for n, p in enumerate(pages, 1):
-            if p.strip():
-                yield os.path.basename(partition.value), n, p
+def catalog_status(spark: SparkSession, path: str) -> int:
+    """Rows of a catalog, 0 where there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.parquet(path).count() if there else 0
 
 
 def blocks(df: DataFrame, text: str, keys: list[str]) -> DataFrame:

@@ -101,8 +101,7 @@ def test_top_k(spark):
 
 def test_pages_and_exports(spark, tmp_path):
     (tmp_path / "a.txt").write_text("page one\nline\f\fpage three")
-    spark.dataSource.register(pg.PagedTextSource)
-    p = spark.read.format("paged_text").option("path", str(tmp_path / "*.txt")).load()
+    p = pg.read_pages(spark, str(tmp_path / "*.txt"))
     assert [(r["page_number"], r["text"]) for r in p.orderBy("page_number").collect()] == [(1, "page one\nline"), (3, "page three")]
     assert pg.blocks(p, "text", ["page_number"]).count() == 3
     d = spark.createDataFrame([(1, 'say "hi", you', None)], "i int, s string, n string")
@@ -113,6 +112,8 @@ def test_pages_and_exports(spark, tmp_path):
     ex.write_version(d, str(tmp_path / "t"), "1")
     ex.write_version(d.withColumn("i", F.lit(2)), str(tmp_path / "t"), "2")
     assert ex.read_current(spark, str(tmp_path / "t")).first()["i"] == 2
+    ex.write_version(d.withColumn("i", F.lit(10)), str(tmp_path / "t"), "10")
+    assert ex.read_current(spark, str(tmp_path / "t")).first()["i"] == 10
     boxes = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], [0.0, 3.0, 5.0, 4.0]), (None, [1.0, 1.0, 1.0, 1.00049])], "a array<double>, b array<double>")
     assert [r[0] for r in boxes.select(pg.bbox_union(F.col("a"), pg.bbox(F.col("b")))).collect()] == [[0.0, 2.0, 5.0, 4.0], [1.0, 1.0, 1.0, 1.0]]
     t = spark.createDataFrame([(["h", None], [["a", "b"], ["", None]])], "h array<string>, r array<array<string>>")
