@@ -14,12 +14,13 @@ def gated_evidence(requirements: DataFrame, retrieved: DataFrame, key: str, need
 
     Passes: vector score and lexical overlap reach their bounds, some material
     token is shared where there are any, and every number needed is there.
-    Places follow the rounded score, then the rank of the retrieval.
+    Places follow the rounded score, then the rank of the retrieval.  A score
+    that is null or not a number passes nothing.
     """
     r = requirements.select(F.col(key), tokens(F.col(need)).alias("__n"), material_tokens(F.col(need)).alias("__m"))
     e = retrieved.withColumns({"__h": tokens(F.col(text)), "__mh": material_tokens(F.col(text))})
     j = e.join(r, key).withColumns({"__o": containment(F.col("__n"), F.col("__h")), "__mo": material_overlap(F.col("__m"), F.col("__mh"))})
-    good = j.where((F.col(score) >= least_score) & (F.col("__o") >= least_overlap) & hard_values(F.col("__m"), F.col("__mh")))
+    good = j.where((F.col(score) >= least_score) & ~F.isnan(score) & (F.col("__o") >= least_overlap) & hard_values(F.col("__m"), F.col("__mh")))
     s = good.select(*[F.col(c) for c in retrieved.columns], F.round("__o", 4).alias("lexical_overlap"), F.round("__mo", 4).alias("material_overlap"), gate_score(F.col(score), F.col("__o")).alias("prematch_score"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("prematch_score"), F.asc(rank)))
     return s.withColumn("place", place).where(F.col("place") <= most)
@@ -45,8 +46,9 @@ def alternate(product: Column, rationale: Column) -> Column:
 
 def calibrated(confidence: Column, scores: Column, decision: Column) -> Column:
     """A confidence of 0 replaced: the best score of the selected evidence in percent, halves to even, else 70 for Unknown."""
-    best = F.bround(F.array_max(scores) * 100).cast("int")
-    return F.when(confidence != 0, confidence).when(F.size(scores) > 0, best).when(decision == "Unknown", F.lit(70)).otherwise(confidence)
+    known = F.filter(scores, lambda x: x.isNotNull() & ~F.isnan(x))
+    best = F.bround(F.array_max(known) * 100).cast("int")
+    return F.when(confidence != 0, confidence).when(F.size(known) > 0, best).when(decision == "Unknown", F.lit(70)).otherwise(confidence)
 
 
 def merged_metrics(batches: DataFrame, key: str, metrics: str) -> DataFrame:

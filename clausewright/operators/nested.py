@@ -46,6 +46,11 @@ def _opened(text: str) -> str:
     return _parse(f"if({text} rlike '^[ \\\\t\\\\n\\\\r]*\"', {inner}, {text})")
 
 
+def parsed(column: str) -> Column:
+    """The variant of a whole well-formed JSON text, else null; NaN is a number."""
+    return F.expr(_parse(f"`{column}`"))
+
+
 _OBJ = "try_variant_get(n.v, '$', 'map<string,variant>')"
 _ARR = "try_variant_get(n.v, '$', 'array<variant>')"
 _NONE = f"cast(array() as array<{_ITEM}>)"

@@ -29,9 +29,9 @@ def resolve_ids(cited: Column, allowed: Column) -> Column:
     return F.filter(F.array_distinct(cited), lambda x: F.array_contains(allowed, x))
 
 
-def gate_score(vector: Column, lexical: Column, weight: float = 0.7) -> Column:
-    """Weighted similarity, four places."""
-    return F.round(F.lit(weight) * vector + F.lit(1 - weight) * lexical, 4)
+def gate_score(vector: Column, lexical: Column, weight: float = 0.7, other: float = 0.3) -> Column:
+    """Weighted similarity, four places, halves up."""
+    return F.floor((F.lit(weight) * vector + F.lit(other) * lexical) * 10000 + 0.5) / 10000
 
 
 def validate_citations(citations: DataFrame, sources: DataFrame, key: str, quote: str, text: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from clausewright.plans import project_queries, reference_queries
+from clausewright.plans import pipeline_queries, project_queries, reference_queries
 
-_MODULES = [project_queries, reference_queries]
+_MODULES = [project_queries, reference_queries, pipeline_queries]
 
 
 def queries() -> dict:
