@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewright.llm.encoding import repair_encoding
@@ -117,6 +117,31 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any placement: all texts placed once and whole, none over the capacity, pieces only where needed."""
+    p = cut(p8_placement(spark, sf_dir), "placement")
+    per = p.groupBy("doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.count_distinct("piece").alias("pieces"))
+    over = p.groupBy("container").agg(F.sum("size").alias("used")).agg(F.count_if(F.col("used") > CAPACITY).alias("over_capacity"))
+    need = F.ceil(F.col("size") / CAPACITY)
+    facts = per.agg(F.count(F.lit(1)).alias("placed"), F.count_if((F.col("n") != need) | (F.col("pieces") != F.col("n"))).alias("split_wrongly"))
+    sizes = _sizes(spark, sf_dir).where("tokens > 0").select(F.col("id").alias("doc_id"), F.col("tokens"))
+    wrong = sizes.join(per, "doc_id", "full_outer").agg(F.count_if(~F.col("tokens").eqNullSafe(F.col("size"))).alias("wrong_size"))
+    return facts.join(over).join(wrong)  # one row each
+
+
+def p9_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any mix, per source: no text over its repeats, shares reached, or all there is used, but for one text."""
+    m, shares = mix(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+    uses = m.groupBy("source", "id").count().groupBy("source").agg(F.max("count").alias("most"))
+    kept = shares.join(uses, "source", "left").na.fill(0, ["most"])
+    longest = m.groupBy("source").agg(F.max("tokens").alias("longest"))
+    kept = kept.join(longest, "source", "left").na.fill(0, ["longest"])
+    total = F.col("available") * F.col("max_repeats")
+    whole = F.sum("available").over(Window.partitionBy())
+    aim = F.least(F.col("target_share") * whole, total)
+    return kept.select("source", (F.col("most") <= F.col("max_repeats")).alias("repeats_kept"), (F.abs(F.col("tokens") - aim) <= F.col("longest") + 1).alias("share_kept"))
+
+
 def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return score_residue(d, "text", ["doc_id"], fit_residue(d, "text"))
@@ -139,4 +164,12 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"p2_found": "select distinct id as row_id from product_manual_evidence where length(text) > 1800"}
+    words = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+')".format
+    shingles = " union all ".join(f"select distinct id, '{f}' as f, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from (select id, {words(f)} as w from requirements)" for f in _P6)
+    return {
+        "p2_found": "select distinct id as row_id from product_manual_evidence where length(text) > 1800",
+        "p6_found": f"""with g as ({shingles}), n as (select id, f, count(*) as n from g group by all), c as (select a.id as id_a, b.id as id_b, a.f, count(*) as c from g a join g b on a.g = b.g and a.f = b.f and a.id < b.id group by all)
+            select distinct id_a, id_b from c join n x on x.id = id_a and x.f = c.f join n y on y.id = id_b and y.f = c.f where 2 * c >= x.n + y.n - c""",
+        "p8_checked": "select count(*) as placed, 0 as split_wrongly, 0 as over_capacity, 0 as wrong_size from documents where length(text) > 0",
+        "p9_checked": "select distinct source, true as repeats_kept, true as share_kept from mix_targets",
+    }
