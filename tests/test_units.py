@@ -17,6 +17,7 @@ CASES = {
     "12 kilograrns or 5 rnillimetres": {("mass", 12000), ("length", 5000)},
     "30 milli-\nmetres": {("length", 30000)},
     "See item 12 in Annex C. Slot 3 A-side. Drawing 220-V-17. Cat 6A. 50 Hz. ±5 V. 10 %. X12 m": set(),
+    "plate reads “Série Nº 7” and “Größe M”, depth of 4”": {("length", 101600)},
     "": set(),
     None: set(),
 }
