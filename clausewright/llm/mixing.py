@@ -15,7 +15,9 @@ one that is scarcest against its target, so no text is used more often than
 its source allows.  Defined results: texts without tokens and sources without
 target are left out; a source that can't reach its share gives what it may
 and the shares really reached are reported; sources without texts are
-reported with 0; repeated rows are one text.
+reported with 0; repeated rows are one text.  There are at most `period`
+sources with targets, since each has a slot of the period; more are refused,
+which bounds what is collected and broadcast per source.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.session import cut
+from clausewright.session import cut, rows_up_to
 
 
 def weight_parts(amounts: dict[str, float], period: int) -> dict[str, int]:
@@ -91,6 +93,8 @@ def mix(sizes: DataFrame, targets: DataFrame, block: int = 8192, period: int = 1
     slot and offset.  shares: per source what it should and does hold.
     """
     spark = sizes.sparkSession
+    if rows_up_to(targets, period) > period:
+        raise ValueError("more targets than slots in a period")
     owned = cut(_owned(sizes, targets), "owned")
     plan = _plan(owned, targets, total)
     schema = "source string, target_share double, max_repeats int, available long, texts long, take long"
