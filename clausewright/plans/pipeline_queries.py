@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as tx
@@ -382,3 +382,74 @@ def layout_merged(s, d):
     m = _manual(s, d, "document_id", "page_number", "id", "text").withColumn("page_number", F.coalesce("page_number", F.lit(0)))
     layout = m.where(F.contains("text", F.lit("\n"))).select("id", tx.normalize(F.col("text")).alias("text"), F.lit(True).alias("ocr"))
     return pg.layout_merged(m, layout, ["id"])
+
+
+# ---------------------------------------------------------------- records
+@_query(f"select id, replace(replace(requirement_text, '—', ','), '–', '-') as shown from {_REQ}")
+def punctuation_shown(s, d):
+    """Punctuation as it is shown."""
+    return _req(s, d, "id", "requirement_text").select("id", re.ui_punctuation(F.col("requirement_text")).alias("shown"))
+
+
+@_query(f"select id, case when trim(engineer_note) <> '' then trim(engineer_note) else requirement_text end as requirement_text, case when trim(engineer_note) <> '' then 'Edited' else review_status end as review_status from {_REQ}")
+def edits_applied(s, d):
+    """Notes taken as edited texts; blank ones keep the old."""
+    r = _req(s, d, "id", "requirement_text", "review_status", "engineer_note")
+    e = r.where("engineer_note is not null").select("id", F.col("engineer_note").alias("requirement_text"), F.when(F.trim("engineer_note") != "", "Edited").alias("review_status"))
+    return re.apply_edits(r.drop("engineer_note"), e, "id", ["requirement_text", "review_status"])
+
+
+_BOX = "case when json_valid(source_bbox_json) and json_array_length(source_bbox_json) = 4 then list_transform([0, 1, 2, 3], lambda i: round(cast(json_extract(source_bbox_json, '$[' || i || ']') as double), 3)) end"
+
+
+@_query(f"""with b as (select id, document_id, {_BOX} as b from {_REQ}), p as (select *, lag(b) over (partition by document_id order by id) as a from b)
+    select id, u[1] as x0, u[2] as y0, u[3] as x1, u[4] as y1 from (select id, case when a is null then b when b is null then a else [least(a[1], b[1]), least(a[2], b[2]), greatest(a[3], b[3]), greatest(a[4], b[4])] end as u from p)""")
+def boxes_united(s, d):
+    """The box around a requirement and the one before it in its document."""
+    box = pg.bbox(F.expr("try_variant_get(try_parse_json(source_bbox_json), '$', 'array<double>')"))
+    b = _req(s, d, "id", "document_id", "source_bbox_json").select("id", "document_id", box.alias("b"))
+    u = b.select("id", pg.bbox_union(F.lag("b").over(Window.partitionBy("document_id").orderBy("id")), F.col("b")).alias("u"))
+    return u.select("id", *[F.get("u", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@_query(f"with {_CITED}, f as (select id, file_name, min(rank) as r from ct where file_name is not null group by all having max(score) >= 0.5) select id, string_agg(file_name, '|' order by r) as cited from f group by id")
+def citations_resolved(s, d):
+    """P20: the cited files that are allowed (a score of one half or more), once each, in the order cited."""
+    c = _citations(s, d).where("file_name is not null").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_name"))), lambda x: x["file_name"]).alias("cited"), F.collect_set(F.when((F.col("score") >= 0.5) & ~F.isnan("score"), F.col("file_name"))).alias("allowed"))
+    return c.select("id", F.array_join(re.resolve_ids(F.col("cited"), F.col("allowed")), "|").alias("cited")).where("cited <> ''")
+
+
+@_query("select vec_id, case when label = 0 then -1 else label end as label, sha256(vec_id::varchar) as point_id from embeddings")
+def vectors_upserted(s, d):
+    """An index takes the last version of each vector under a stable id."""
+    e = _rows(s, d, "embeddings", ("vec_id", "label"))
+    index = re.upsert_vectors(None, e.withColumn("seq", F.lit(0)), "vec_id", "seq")
+    again = e.where("label = 0").select("vec_id", F.lit(-1).cast("int").alias("label"), F.lit(1).alias("seq"))
+    return re.upsert_vectors(index, again, "vec_id", "seq").select("vec_id", F.col("label").cast("int").alias("label"), "point_id")
+
+
+@_query(f"select id, case when confidence is null then 'missing' when confidence < 60 then 'review' when {_DECISION} = 'Unknown' then 'open' else 'kept' end as route, case when confidence is null then 0 when confidence < 60 then least(confidence, 50) else confidence end as confidence from {_ASSESSED}")
+def records_routed(s, d):
+    """M4, M1 to M3: a decision table given as data, first rule wins."""
+    c = F.col("confidence")
+    rules = [(c.isNull(), {"route": F.lit("missing"), "capped": F.lit(0)}), (c < 60, {"route": F.lit("review"), "capped": F.least(c, F.lit(50))}), (cx.decision(F.col("decision")) == "Unknown", {"route": F.lit("open")})]
+    r = re.route(_ass(s, d, "id", "decision", "confidence"), rules, {"route": F.lit("kept"), "capped": c})
+    return r.select("id", "route", F.col("capped").alias("confidence"))
+
+
+@_query(f"with {_CITED}, n as (select id, count(*) as n from ct group by id) select a.id, case when n.n is null then 'Unknown' when n.n >= 3 then 'Compliant' else 'Conditional' end as verdict, coalesce(n.n, 0) as used from {_ASSESSED} a left join n on n.id = a.id")
+def records_evaluated(s, d):
+    """An evaluator over the rows with evidence, a fixed outcome for the rest; this one counts."""
+    n = _citations(s, d).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    a = _ass(s, d, "id").join(n.hint("merge"), "id", "left")
+
+    def count(b):
+        return b.assign(verdict=["Compliant" if k >= 3 else "Conditional" for k in b["n"]], used=b["n"])[["id", "verdict", "used"]]
+
+    return re.evaluate(a, F.col("n").isNotNull(), count, "id string, verdict string, used long", {"verdict": F.lit("Unknown"), "used": F.lit(0)})
+
+
+@_query("select arg_max(id, (created_at, id)) as id, count(*) as versions from (select distinct * from solutions)")
+def latest_solution(s, d):
+    """The solution created last."""
+    return _rows(s, d, "solutions", ("id", "created_at")).agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.count(F.lit(1)).alias("versions"))
