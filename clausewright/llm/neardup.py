@@ -69,6 +69,41 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return n / (len(a) + len(b) - n) if n else 0.0
 
 
+def similarities(a: list[str | None], b: list[str | None], width: int) -> np.ndarray:
+    """jaccard of the shingle sets of a[i] and b[i], exactly, for many pairs at once.
+
+    Words and shingles are numbered, so that sets are runs of sorted numbers;
+    shingles are numbered anew where products of the numbers grow too large.
+    """
+    texts: dict[str, int] = {}
+    x, y = (np.fromiter((texts.setdefault(t or "", len(texts)) for t in side), dtype=np.int64, count=len(side)) for side in (a, b))
+    words: dict[str, int] = {}
+    ids = [[words.setdefault(w, len(words)) for w in split_words(t)] for t in texts]
+    sizes = np.array([max(0, len(i) - width + 1) for i in ids])
+    if not sizes.sum():
+        return np.zeros(len(a))
+    lengths = np.array([len(i) for i in ids])
+    flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int64, count=int(lengths.sum()))
+    first = np.repeat(np.cumsum(lengths) - lengths, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    shingle, span = flat[first], len(words)
+    for i in range(1, width):
+        if span * len(words) * len(texts) >= 2**62:
+            shingle, span = np.unique(shingle, return_inverse=True)[1], len(shingle)
+        shingle, span = shingle * len(words) + flat[first + i], span * len(words)
+    if span * len(texts) >= 2**62:
+        shingle, span = np.unique(shingle, return_inverse=True)[1], len(shingle)
+    keys = np.sort(np.repeat(np.arange(len(texts)), sizes) * span + shingle)
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    begin = np.searchsorted(keys, np.arange(len(texts) + 1) * span)
+    n = np.diff(begin)
+    pair = np.repeat(np.arange(len(a)), n[x])
+    at = np.repeat(begin[x] - np.cumsum(n[x]) + n[x], n[x]) + np.arange(n[x].sum())
+    wanted = keys[at] + (y - x)[pair] * span
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    common = np.bincount(pair, weights=keys[place] == wanted, minlength=len(a))
+    return common / np.maximum(n[x] + n[y] - common, 1)
+
+
 class Forest:
     """Shape of the forest and the expected recall of its prefixes.
 
@@ -401,11 +436,7 @@ def similar_contents(docs: DataFrame, fields: list[str], threshold: float = 0.8,
         for b in batches:
             best = np.zeros(len(b))
             for f in fields:
-                sets: dict[str | None, frozenset] = {}
-                for t in {*b[f"a_{f}"], *b[f"b_{f}"]}:
-                    sets[t] = shingle_set(t, width)
-                x = [jaccard(sets[s], sets[t]) for s, t in zip(b[f"a_{f}"], b[f"b_{f}"], strict=True)]
-                best = np.maximum(best, x)
+                best = np.maximum(best, similarities(b[f"a_{f}"].tolist(), b[f"b_{f}"].tolist(), width))
             o = pd.DataFrame({"a": b["a"], "b": b["b"], "similarity": best})
             yield o[best >= threshold]
 

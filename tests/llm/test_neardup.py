@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from clausewright.llm.neardup import Forest, candidate_pairs, contents, expand_members, groups, jaccard, shingle_set, shortened, similar_contents, with_shingles
+from clausewright.llm.neardup import Forest, candidate_pairs, contents, expand_members, groups, jaccard, shingle_set, shortened, similar_contents, similarities, with_shingles
 from clausewright.session import cut
 
 
@@ -90,3 +90,15 @@ def test_labels_of_long_chains(spark):
 def test_empty(spark):
     docs, members = contents(spark.createDataFrame([], "id string, t string"), "id", ["t"])
     assert similar_contents(docs, ["t"]).count() == 0
+
+
+@pytest.mark.parametrize("words", [3, 40, 5000])
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_similarities_are_exact(words, width):
+    r = random.Random(words + width)
+    some = [None, "", "one", "a b", *(" ".join(f"w{r.randrange(words)}" for _ in range(r.randint(0, 60))) for _ in range(150))]
+    some += [t + " more" for t in some if t]
+    a, b = ([r.choice(some) for _ in range(500)] for _ in range(2))
+    want = [jaccard(shingle_set(x, width), shingle_set(y, width)) for x, y in zip(a, b)]
+    assert similarities(a, b, width).tolist() == pytest.approx(want, abs=0)
+    assert similarities([], [], width).tolist() == []
