@@ -21,6 +21,7 @@ class BoostedTrees:
         p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         self.base = float(np.log(p / (1 - p)))
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 2)[1:-1])) for f in range(x.shape[1])]
+        code = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)])  # how many cuts a value is above
         score = np.full(len(y), self.base)
         for _ in range(self.trees):
             prob = 1 / (1 + np.exp(-score))
@@ -35,10 +36,10 @@ class BoostedTrees:
                 if node >= 2**self.depth - 1 or m.sum() < 10:
                     continue
                 best, pick = 1e-6, None
-                xs, gs, hs = x[m], grad[m], hess[m]
+                gs, hs = grad[m], hess[m]
                 for f, c in enumerate(cuts):
-                    right = xs[:, f, None] > c[None, :]
-                    gr, hr = gs @ right, hs @ right
+                    above = code[f, m]
+                    gr, hr = (np.bincount(above, v, len(c) + 1)[::-1].cumsum()[::-1][1:] for v in (gs, hs))
                     gain = gr**2 / (hr + 1) + (g - gr) ** 2 / (h - hr + 1) - g**2 / (h + 1)
                     k = int(np.argmax(gain)) if len(gain) else 0
                     if len(gain) and gain[k] > best:
