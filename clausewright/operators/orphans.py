@@ -62,7 +62,7 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> Data
     """(table_name, row_id, ref, at, kind, level): direct orphans at level 0 and those that inherit at the level reached first.
 
     Each level is written to the shared folder, so that a lost executor costs no
-    earlier level.  The loop ends when a level adds no row, so the number of
+    earlier level.  The loop ends when a level adds no row or no key leads further, so the number of
     levels is at most the longest path of the foreign-key graph, or, for graphs
     with cycles, the longest chain of records; nothing else bounds it.
     """
@@ -73,9 +73,14 @@ def orphan_cascade(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> Data
     direct = direct.select("table_name", "row_id", "ref", "at", F.lit("direct").alias("kind"), F.lit(0).alias("level")).distinct()
     known = cut(direct, "orphans-0")
     frontier, found = known, known
+    reached = {fk.child for fk in keys}  # the tables that the last level may have rows of
     for level in itertools.count(1):
         parts = None
-        for fk in keys:
+        active = [fk for fk in keys if fk.parent in reached]
+        if not active:
+            break
+        reached = {fk.child for fk in active}
+        for fk in active:
             bad = frontier.where(F.col("table_name") == fk.parent).select(norm_key("row_id").alias("ref")).where("ref is not null").distinct()
             c = tables[fk.child].select(F.col(f"`{fk.key}`").alias("row_id"), norm_key(fk.column).alias("ref"), F.col(f"`{fk.child_time}`").alias("at")).where("ref is not null")
             part = join_checked(c, bad, ["ref"], "inner").select(F.lit(fk.child).alias("table_name"), "row_id", "ref", "at")
