@@ -9,6 +9,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,15 +65,14 @@ def near_pairs(df: DataFrame, group: list[str], key: str, seq: list[str], identi
     schema = T.StructType([T.StructField("first", kind), T.StructField("second", kind)])
     names = [*group, "__class", "__lo", "__hi"]
 
-    def compare(g: pd.DataFrame) -> Iterator[tuple]:
-        rows = list(zip(g[key], g["__t"], [Counter(t) for t in g["__t"]], g["__own"], g["__l"], strict=True))
-        lo, hi, cls = g["__lo"].iloc[0], g["__hi"].iloc[0], g["__class"].iloc[0]
-        for j, (k2, t2, b2, o2, l2) in enumerate(rows):
-            for k1, t1, b1, o1, l1 in rows[:j]:
+    def compare(rows: list[tuple], lo: int, hi: int, cls: int) -> Iterator[tuple]:
+        bags = [Counter(t) for _, t, *_ in rows]
+        for j, (k2, t2, o2, l2) in enumerate(rows):
+            for i, (k1, t1, o1, l1) in enumerate(rows[:j]):
                 if (min(o1, o2), max(o1, o2)) != (lo, hi) or max(l1, l2) != cls:
                     continue
                 total = len(t1) + len(t2)
-                if min(len(t1), len(t2)) < length_ratio * max(len(t1), len(t2)) or 2 * sum((b1 & b2).values()) < ratio * total:
+                if min(len(t1), len(t2)) < length_ratio * max(len(t1), len(t2)) or 2 * (bags[i] & bags[j]).total() < ratio * total:
                     continue
                 if difflib.SequenceMatcher(None, t2, t1).ratio() >= ratio:
                     yield k1, k2
@@ -90,11 +90,19 @@ def near_pairs(df: DataFrame, group: list[str], key: str, seq: list[str], identi
                 return
             else:
                 whole = rest
-            pairs = [p for _, g in whole.groupby("__g", sort=False) for _, h in g.groupby(names, sort=False, dropna=False) for p in compare(h)]
+            new = np.zeros(len(whole), dtype=bool)
+            for c in ("__g", *names):
+                v = whole[c].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            new[:1] = True
+            starts = np.flatnonzero(new).tolist()
+            rows = list(zip(whole[key], whole["__t"], whole["__own"], whole["__l"], strict=True))
+            at = list(zip(whole["__lo"], whole["__hi"], whole["__class"], strict=True))
+            pairs = [p for x, y in itertools.pairwise([*starts, len(rows)]) if y - x > 1 for p in compare(rows[x:y], *at[x])]
             if pairs:
                 yield pd.DataFrame(pairs, columns=["first", "second"])
 
-    d = d.select(*names, "__g", "__own", "__l", key, "__t", "__at").repartition("__g").sortWithinPartitions("__g", "__at")
+    d = d.select(*names, "__g", "__own", "__l", key, "__t", "__at").repartition("__g").sortWithinPartitions("__g", *names, "__at")
     return d.drop("__at").mapInPandas(run, schema).distinct()
 
 
