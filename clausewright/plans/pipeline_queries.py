@@ -453,3 +453,23 @@ def records_evaluated(s, d):
 def latest_solution(s, d):
     """The solution created last."""
     return _rows(s, d, "solutions", ("id", "created_at")).agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.count(F.lit(1)).alias("versions"))
+
+
+def _first_sql(source: str, value: str, order: str, n: int, unique: bool, name: str) -> str:
+    v = f"select p, s, {value} as v, min({order}) as o from {source} where {value} is not null group by all" if unique else f"select p, s, {value} as v, {order} as o from {source}"
+    return f"(select p, s, string_agg(v, '|' order by n) as {name} from (select *, row_number() over (partition by p, s order by o, v) as n from ({v})) where n <= {n} group by p, s)"
+
+
+@_query(f"""with {_CITED}, j as (select r.solution_package as p, r.subcategory as s, a.id as aid, {_DECISION.replace('decision', 'a.decision')} as d, nullif(r.compliance_object, '') as ob, nullif(a.product_name, '') as pr, left(coalesce(r.requirement_text, ''), 400) as t
+    from {_ASSESSED} a join {_REQ} r on lower(trim(a.requirement_id)) = lower(trim(r.id)) where r.solution_package is not null and r.subcategory is not null), un as (select * from j where d in ('Non-compliant', 'Unknown')),
+    e as (select j.p, j.s, j.aid, k.n, coalesce(k.file_name, '') || ': ' || left(coalesce(k.quote, ''), 350) as x from j join (select *, row_number() over (partition by id order by rank) as n from ct) k on k.id = j.aid where k.n <= 2)
+    select p as solution_package, s as subcategory, o.objects, pr.products, sm.samples, u.unresolved, ev.evidence from (select distinct p, s from j) left join {_first_sql('j', 'ob', 'aid', 12, True, 'objects')} o using (p, s) left join {_first_sql('j', 'pr', 'aid', 12, True, 'products')} pr using (p, s)
+    left join {_first_sql('j', 't', 'aid', 4, False, 'samples')} sm using (p, s) left join {_first_sql('un', 't', 'aid', 6, False, 'unresolved')} u using (p, s) left join {_first_sql('e', 'x', '(aid, n)', 6, True, 'evidence')} ev using (p, s)""")
+def solution_lists(s, d):
+    """A1: the bounded lists of each package and part: objects, products, samples, what is unresolved, and evidence."""
+    c = _citations(s, d).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_name", "quote"))), lambda x: F.struct(x["file_name"].alias("file_name"), F.lit(None).cast("string").alias("location"), x["quote"].alias("quote"))).alias("evidence"))
+    a = _ass(s, d, "id", "requirement_id", "decision", "product_name").withColumn("k", norm_key("requirement_id")).join(c.hint("merge"), "id", "left").withColumnRenamed("id", "aid")
+    r = _req(s, d, "id", "solution_package", "subcategory", "compliance_object", "requirement_text").withColumn("k", norm_key("id")).drop("id").where("solution_package is not null and subcategory is not null")
+    out = cx.solution_context(a.join(r, "k"), ["solution_package", "subcategory"], "aid", "compliance_object", "product_name", "requirement_text", evidence="evidence")
+    shown = F.array_join(F.transform("evidence", lambda x: F.concat(F.coalesce(x["file_name"], F.lit("")), F.lit(": "), x["quote"])), "|")
+    return out.select("solution_package", "subcategory", "objects", "products", "samples", "unresolved", shown.alias("evidence"))
