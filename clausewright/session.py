@@ -75,7 +75,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._clausewright_cut = True
+    return out
 
 
 def rows_up_to(df: DataFrame, bound: int) -> int:
@@ -97,14 +99,15 @@ BROADCAST_BYTES = 16 << 20
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_BYTES, share: int = 256, salts: int = 32) -> DataFrame:
     """Join, inner, left, left_semi or left_anti, where one key of left may hold a great part of its rows.
 
-    right is written to the shared folder, so it is computed once and counted;
+    right is written to the shared folder, unless it was just read from there,
+    so it is computed once and counted;
     it is broadcast only if it has at most `most` bytes.  Beyond that both
     sides are sorted and merged.  Keys that hold more than 1 / `share` of left
     are counted first (fewer than `share` by their definition); their rows are
     spread over `salts` tasks and only their rows of right are repeated.  Rows
     with a null key are spread as well.  The result is the same either way.
     """
-    right = cut(right, "side")
+    right = right if getattr(right, "_clausewright_cut", False) else cut(right, "side")
     if extent(right)[1] <= most:
         return left.join(F.broadcast(right), on, how)
     counted = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
