@@ -71,10 +71,10 @@ NAMED = r"(?i:\b(?:item|items|slot|slots|clause|clauses|section|step|no|nr|cat|c
 
 def quantity_phrases(text: Column) -> Column:
     """array<string> of the number phrases with a unit beside them, white space collapsed, designations left out."""
-    flat = F.regexp_replace(text, r"(\p{L}{2})[-\u2010\u2011\u00ad\u00ac][ \t]*\r?\n[ \t]*(\p{Ll})", "$1$2")
-    flat = F.regexp_replace(flat, r"(?U)\s+", " ")
     # a mark that closes a quotation is no inch
-    flat = F.when(F.contains(flat, F.lit("“")), F.regexp_replace(flat, "“([^“”]*)”", "“$1“")).otherwise(flat)
+    open_ = F.when(F.contains(text, F.lit("“")), F.regexp_replace(text, "“([^“”]*)”", "“$1“")).otherwise(text)
+    flat = F.regexp_replace(open_, r"(\p{L}{2})[-\u2010\u2011\u00ad\u00ac][ \t]*\r?\n[ \t]*(\p{Ll})", "$1$2")
+    flat = F.regexp_replace(flat, r"(?U)\s+", " ")
     kept = F.regexp_replace(flat, rf"{NAMED}\d[\w.,-]*", "§")
     after = F.regexp_extract_all(kept, F.lit(AFTER), 0)
     ahead = F.regexp_extract_all(kept, F.lit(AHEAD), 0)
