@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausewright.functions.text import fold
 
@@ -101,3 +103,66 @@ def upsert_vectors(index: DataFrame | None, chunks: DataFrame, key: str, seq: st
 def ui_punctuation(c: Column) -> Column:
     """Em dash to comma, en dash to hyphen."""
     return F.translate(c, "—–", ",-")
+
+
+Work = Callable[[pd.DataFrame], str]
+
+
+def with_fallback(workers: list[Work], bisect: bool = True) -> Work:
+    """Work that tries each worker in turn; where all fail, the halves of the batch are tried on their own (M7).
+
+    The results of halves are joined by line ends.  A single row that fails everywhere raises the last error.
+    """
+
+    def work(rows: pd.DataFrame) -> str:
+        last: Exception | None = None
+        for w in workers:
+            try:
+                return w(rows)
+            except Exception as e:  # noqa: BLE001  # whatever a worker fails with, the next one is tried
+                last = e
+        if not bisect or len(rows) < 2:
+            raise last or ValueError("no worker")
+        half = len(rows) // 2
+        return "\n".join(work(part) for part in (rows.iloc[:half], rows.iloc[half:]))
+
+    return work
+
+
+def run_isolated(df: DataFrame, batch: str, order: list[str], work: Work) -> DataFrame:
+    """(batch, status, result, error): the work of each batch, by itself: one that fails leaves the others alone (T4).
+
+    Batches are small by their making; a worker holds one of them at a time.
+    Null batches are left out.
+    """
+    d = df.where(F.col(batch).isNotNull())
+    schema = T.StructType([d.schema[batch], *[T.StructField(n, T.StringType()) for n in ("status", "result", "error")]])
+
+    def one(rows: pd.DataFrame) -> tuple:
+        key = rows[batch].iloc[0]
+        try:
+            return key, "completed", work(rows.reset_index(drop=True)), None
+        except Exception as e:  # noqa: BLE001  # the error is the result
+            return key, "failed", None, str(e)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
+                if rest.empty:
+                    continue
+                last = int((rest[batch] != rest[batch].iloc[-1]).sum())
+                whole, rest = rest.iloc[:last], rest.iloc[last:]
+            else:
+                whole, rest = rest, None
+            if whole is not None and len(whole):
+                yield pd.DataFrame([one(g) for _, g in whole.groupby(batch, sort=False)], columns=schema.names)
+
+    return d.repartition(batch).sortWithinPartitions(batch, *order).mapInPandas(run, schema)
+
+
+def job_outcome(runs: DataFrame, key: list[str]) -> DataFrame:
+    """key + (completed, failed, status): a job has failed if one of its batches has."""
+    failed = F.count_if(F.col("status") == "failed")
+    return runs.groupBy(*key).agg(F.count_if(F.col("status") == "completed").alias("completed"), failed.alias("failed"), F.when(failed > 0, "failed").otherwise("completed").alias("status"))

@@ -473,3 +473,17 @@ def solution_lists(s, d):
     out = cx.solution_context(a.join(r, "k"), ["solution_package", "subcategory"], "aid", "compliance_object", "product_name", "requirement_text", evidence="evidence")
     shown = F.array_join(F.transform("evidence", lambda x: F.concat(F.coalesce(x["file_name"], F.lit("")), F.lit(": "), x["quote"])), "|")
     return out.select("solution_package", "subcategory", "objects", "products", "samples", "unresolved", shown.alias("evidence"))
+
+
+@_query(f"""with b as (select *, (n - 1) // 8 as batch from (select *, row_number() over (order by {', '.join(c + ' nulls first' for c in _NARRATIVE)}) as n from {_REQ}))
+    select batch, case when bool_or(page_number is null) then 'failed' else 'completed' end as status, case when not bool_or(page_number is null) then count(*)::varchar end as result, case when bool_or(page_number is null) then 'page missing' end as error from b group by batch""")
+def batches_run(s, d):
+    """T4: each batch by itself; those with a row without page fail and leave the others alone."""
+    b = fixed_batches(_req(s, d, *_NARRATIVE), [F.asc_nulls_first(c) for c in _NARRATIVE], 8)
+
+    def work(rows):
+        if rows["page_number"].isna().any():
+            raise ValueError("page missing")
+        return str(len(rows))
+
+    return re.run_isolated(b.select("batch", "position", "page_number"), "batch", ["position"], work)

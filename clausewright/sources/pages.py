@@ -61,3 +61,28 @@ def fixed_chunks(df: DataFrame, text: str, keys: list[str], size: int = 1800, ov
     n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / (size - overlap)))
     c = df.where(F.length(text) > 0).select(*keys, F.col(text).alias("__t"), F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("chunk"))
     return c.select(*keys, "chunk", F.substr("__t", (F.col("chunk") * (size - overlap) + 1).cast("int"), F.lit(size)).alias("chunk_text"))
+
+
+def ingest(spark: SparkSession, path: str, kind: str, document_id: str, root: str, size: int = 1800, overlap: int = 250) -> int:
+    """Read a document's pages, and for products its chunks, into root; returns the rows written.
+
+    kind: rfq or product; anything else is refused.  What the document had
+    before is replaced, one folder per document; the outcome is appended to
+    root/status, also where reading fails.
+    """
+    if kind not in ("rfq", "product"):
+        raise ValueError(f"kind must be rfq or product, not {kind}")
+
+    def note(status: str, rows: int, error: str | None) -> None:
+        spark.createDataFrame([(document_id, kind, status, rows, error)], "document_id string, kind string, status string, rows long, error string").coalesce(1).write.mode("append").parquet(f"{root}/status")
+
+    try:
+        pages = read_pages(spark, path)
+        out = f"{root}/{'chunks' if kind == 'product' else 'pages'}/document_id={document_id}"
+        (fixed_chunks(pages, "text", ["file_name", "page_number"], size, overlap) if kind == "product" else pages).write.mode("overwrite").parquet(out)
+        rows = spark.read.parquet(out).count()
+    except Exception as e:
+        note("failed", 0, str(e).splitlines()[0])
+        raise
+    note("indexed" if kind == "product" else "ready", rows, None)
+    return rows

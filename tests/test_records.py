@@ -46,3 +46,44 @@ def test_index_keeps_the_last_version(spark):
     assert {(r["id"], r["t"]) for r in i.collect()} == {("c1", "new"), ("c2", "x")}
     j = rc.upsert_vectors(i, spark.createDataFrame([("c2", "y", 5)], "id string, t string, seq int"), "id", "seq")
     assert {(r["id"], r["t"]) for r in j.collect()} == {("c1", "new"), ("c2", "y")}
+
+
+def test_fallback_and_isolation(spark):
+    from clausewright.operators.records import job_outcome, run_isolated, with_fallback
+
+    def picky(rows):
+        if len(rows) > 1:
+            raise ValueError("too many")
+        return ",".join(map(str, rows["v"]))
+
+    def odd(rows):
+        if (rows["v"] % 2 == 0).any():
+            raise ValueError("even")
+        return picky(rows)
+
+    d = spark.createDataFrame([("j", b, v) for b, vs in ((1, [1, 3, 5]), (2, [2, 4]), (3, [7]), (None, [9])) for v in vs], "job string, batch int, v int")
+    got = {r["batch"]: (r["status"], r["result"], r["error"]) for r in run_isolated(d, "batch", ["v"], with_fallback([odd])).collect()}
+    assert got == {1: ("completed", "1\n3\n5", None), 2: ("failed", None, "even"), 3: ("completed", "7", None)}
+    both = run_isolated(d, "batch", ["v"], with_fallback([odd, picky]))
+    assert {r["status"] for r in both.collect()} == {"completed"}
+    out = job_outcome(run_isolated(d, "batch", ["v"], odd).selectExpr("'j' as job", "*"), ["job"]).first()
+    assert (out["completed"], out["failed"], out["status"]) == (1, 2, "failed")
+    assert run_isolated(d.where("false"), "batch", ["v"], odd).count() == 0
+
+
+def test_ingest(spark, tmp_path):
+    import pytest
+
+    from clausewright.sources.pages import ingest
+
+    (tmp_path / "m.txt").write_text("x" * 4000 + "\fpage two")
+    root = str(tmp_path / "r")
+    assert ingest(spark, str(tmp_path / "m.txt"), "product", "a", root) == 4 and ingest(spark, str(tmp_path / "m.txt"), "rfq", "b", root) == 2
+    assert ingest(spark, str(tmp_path / "m.txt"), "rfq", "b", root) == 2
+    with pytest.raises(ValueError):
+        ingest(spark, str(tmp_path / "m.txt"), "other", "c", root)
+    (tmp_path / "e.txt").write_text("\f")
+    with pytest.raises(Exception, match="no text"):
+        ingest(spark, str(tmp_path / "e.txt"), "rfq", "d", root)
+    log = spark.read.parquet(f"{root}/status").collect()
+    assert sorted((r["document_id"], r["status"], r["rows"]) for r in log) == [("a", "indexed", 4), ("b", "ready", 2), ("b", "ready", 2), ("d", "failed", 0)]
