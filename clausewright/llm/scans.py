@@ -421,12 +421,16 @@ def _cased(found: str, right: str) -> str:
 
 def repair_scans(df: DataFrame, text: str, keys: list[str], sample_rows: int = 3000) -> DataFrame:
     """keys + (clean_text, furniture, splits, misread): the damaged records as continuous paragraphs, with counts of the repairs."""
-    base = df.select(*keys, text).distinct()
+    base = cut(df.select(*keys, text).distinct(), "texts")
     f = scan_findings(base, text, keys, sample_rows)
-    joined = base.join(f["furniture"].withColumnRenamed("lines", "__f"), keys, "left")
-    joined = joined.join(f["splits"].groupBy(*keys).agg(F.collect_set(F.concat_ws("\t", "left", "right")).alias("__s")), keys, "left")
-    joined = joined.join(f["misread"].groupBy(*keys).agg(F.collect_set(F.concat_ws("\t", "word", "replacement")).alias("__m")), keys, "left")
-    hurt = joined.where("__f is not null or __s is not null or __m is not null")
+    none = F.lit(None)
+    pair = lambda a, b: F.concat_ws("\t", a, b)
+    marks = f["furniture"].select(*keys, F.col("lines").alias("__f"), none.cast("string").alias("__s"), none.cast("string").alias("__m"))
+    marks = marks.unionByName(f["splits"].select(*keys, none.cast("array<int>").alias("__f"), pair("left", "right").alias("__s"), none.cast("string").alias("__m")))
+    marks = marks.unionByName(f["misread"].select(*keys, none.cast("array<int>").alias("__f"), none.cast("string").alias("__s"), pair("word", "replacement").alias("__m")))
+    # the findings meet first, so that each text moves once
+    found = marks.groupBy(*keys).agg(F.first("__f", ignorenulls=True).alias("__f"), F.collect_set("__s").alias("__s"), F.collect_set("__m").alias("__m"))
+    hurt = base.join(found, keys)
     schema = T.StructType([*[base.schema[k] for k in keys], T.StructField("clean_text", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("furniture", "splits", "misread")]])
     listed = lambda v: [] if v is None else list(v)
     token = re.compile(r"(?:[^\W_]|[@!|])+")
