@@ -142,24 +142,22 @@ def _parameters(n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(1, 2**31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 2**32, n, dtype=np.uint64).astype(np.uint32)
 
 
-_CACHE: dict[str, int] = {}
+class _Ids(dict):
+    """Word to a 64-bit number."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        n = self[word] = xxhash.xxh64_intdigest(word)
+        return n
 
-def _word_ids(text: str) -> list[int]:
-    out = []
-    for w in split_words(text):
-        h = _CACHE.get(w)
-        if h is None:
-            if len(_CACHE) > 1_000_000:
-                _CACHE.clear()
-            h = _CACHE[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return out
+
+_IDS = _Ids()
 
 
 def minima(texts: list[str | None], width: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of the texts that have shingles, their mixed minima by function)."""
-    ids = [_word_ids(t) if t else [] for t in texts]
+    ids = [list(map(_IDS.__getitem__, split_words(t))) if t else [] for t in texts]
     have = np.array([k for k, w in enumerate(ids) if len(w) >= width], dtype=np.int64)
     if not len(have):
         return have, np.zeros((0, functions), dtype=np.uint32)
