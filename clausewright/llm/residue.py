@@ -78,21 +78,22 @@ def has_sign(passage: str, holds: list[str]) -> bool:
     return any(h in low for h in holds) and _SEED.search(passage) is not None
 
 
-_IDS: dict[str, int] = {}
+class _Ids(dict):
+    """Token to number; digits are one token, case doesn't matter."""
 
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        n = self[token] = 3 + zlib.crc32(b"#" if token.isdigit() else token.lower().encode())
+        return n
 
-def _token_id(token: str) -> int:
-    n = _IDS.get(token)
-    if n is None:
-        if len(_IDS) > 1_000_000:
-            _IDS.clear()
-        n = _IDS[token] = 3 + zlib.crc32(b"#" if token.isdigit() else token.lower().encode())
-    return n
+
+_IDS = _Ids()
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(starts, buckets): the distinct words and word pairs of each passage, hashed; every passage has one at least."""
-    ids = [[_token_id(t) for t in _TOKEN.findall(p)] for p in texts]
+    ids = [list(map(_IDS.__getitem__, _TOKEN.findall(p))) for p in texts]
     sizes = np.array([len(x) for x in ids], dtype=np.int64)
     flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint64, count=int(sizes.sum()))
     begin = np.cumsum(sizes + 2) - sizes - 2  # each passage with an edge on both sides
